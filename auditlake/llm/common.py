@@ -184,3 +184,28 @@ def lists(values: np.ndarray, per: np.ndarray, kind: pa.DataType) -> pa.Array:
     off = np.zeros(len(per) + 1, np.int32)
     np.cumsum(per, out=off[1:])
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(values, kind))
+
+
+# --------------------------------------------------------------------------- ranges of ids
+
+#: Text bytes that one range of ids should have.
+RANGE_BYTES = 8 << 20
+
+
+def in_ranges(docs: DataFrame, target: int = RANGE_BYTES) -> tuple[DataFrame, list[int]]:
+    """docs(doc_id long, text string) with ``part``, the number of the range of ids that the row is in (null ids: 0), and the bounds.
+
+    Ranges come from approximate quantiles of the ids alone, so no text is read twice for them.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
+    n = max(1, min(size.n, -(-(size.b or 0) // target), 20_000))
+    bounds = sorted(set(map(int, docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))) if n > 1 else []
+    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+
+    def part(ids):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(sent.value, ids.to_numpy(), side="right"), dtype="int32")
+
+    return docs.withColumn("part", F.pandas_udf(part, "int")(F.coalesce("doc_id", F.lit(-(2**63))))), bounds

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash
+from . import bagminhash, bitpack, common, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,15 +19,28 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files of packed bits and read back from them."""
+    files = bitpack.write(_table(spark, sf_dir, "documents"), common.scratch_dir(spark) + "/token-files", public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return bitpack.read_index(files)
+
+
+def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op5_bit_packed_ids": op5_bit_packed_ids,
+    "op9_minimum_bin_slack": op9_minimum_bin_slack,
 }
 
 ORACLES: dict[str, str] = {
     "op1_bagminhash": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-         '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, w, array_to_string(w, ' ') AS words FROM w),
 c AS (SELECT words, min(doc_id) AS node, any_value(w) AS w FROM t GROUP BY words),
 s AS (SELECT node, array_to_string(w[i : i + 4], ' ') AS s, count(*) AS n
