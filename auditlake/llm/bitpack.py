@@ -162,7 +162,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     Returns (part, file, start, n_ids): the files in order and the number of ids before each.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts, bounds = C.in_ranges(slim)
     dealt = parts.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task works on at once.
 BLOCK_BYTES = 2 << 20
 _M64 = (1 << 64) - 1
+#: Shuffle files go when the query that made them ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 # --------------------------------------------------------------------------- scratch
@@ -39,12 +43,26 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes ``df`` to the shared scratch folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Rows an Arrow batch: long texts must not add up to gigabytes."""
+def prepare(spark: SparkSession) -> None:
+    """Sends the package to the executors and keeps Arrow batches small: long texts must not add up to gigabytes."""
+    context = spark.sparkContext
+    if not getattr(context, "_auditlake_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="auditlake-")) / "auditlake.zip"  # the driver serves it to the executors while it runs
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        context._auditlake_sent = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 

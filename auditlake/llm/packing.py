@@ -102,7 +102,7 @@ def _pieces(tokenizer: str, end: int, length: int):
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = slim.mapInArrow(_pieces(tokenizer, end, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
     pieces = C.saved(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")

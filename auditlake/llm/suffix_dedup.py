@@ -377,7 +377,7 @@ def covered(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, i
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    C.small_batches(docs.sparkSession)
+    C.prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
