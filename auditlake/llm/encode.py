@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Distinct pieces kept in each of two generations; the older one is dropped when the younger is full.
-PIECES = 600_000
+PIECES = 900_000
 _HARD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 _TAIL = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
@@ -35,41 +36,42 @@ class Encoder:
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, keys: set[str]) -> None:
-        """Brings all keys into the younger generation."""
-        young, old = self.young, self.old
-        keys = keys - young.keys()
-        if len(young) + len(keys) > PIECES:
-            self.old, self.young = young, {}
-            old, young = self.old, self.young
-        known = {k: old[k] for k in keys if k in old}
-        young.update(known)
-        cut = {k: m.groups() for k in keys - known.keys() if (m := _TAIL.fullmatch(k))}
-        parts = {p for a, b in cut.values() for p in (a, "\0" + b)}
-        for k in [p for p in parts if p not in young and p in old]:
-            young[k] = old[k]
-        new = [k for k in (keys - known.keys() - cut.keys()) | (parts - young.keys())]
-        texts = [k[1:] if k[0] == "\0" else k if k[0] == "\n" else " " + k for k in new]
-        for k, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            young[k] = np.array(e.ids, "<u4").tobytes()
-        for k, (a, b) in cut.items():
-            young[k] = young[a] + young["\0" + b]
+    def _new(self, piece: str) -> bytes:
+        """The ids of one piece, by the library's normalizer, pre-tokenizer and model."""
+        t = self.tokenizer
+        if t.normalizer is not None:
+            piece = t.normalizer.normalize_str(piece)
+        tokenize = t.model.tokenize
+        ids = [x.id for p, _ in t.pre_tokenizer.pre_tokenize_str(piece) for x in tokenize(p)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _get(self, key: str) -> bytes:
+        """Looks a key up in both generations, or encodes it."""
+        out = self.young.get(key) or self.old.get(key)
+        if out is None:
+            if m := _TAIL.fullmatch(key):
+                out = self._get(m[1]) + self._get("\0" + m[2])
+            else:
+                out = self._new(key[1:] if key[0] == "\0" else key if key[0] == "\n" else " " + key)
+        self.young[key] = out
+        return out
 
     def batch(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text (null: empty) and the end id, as little-endian unsigned 32-bit integers."""
         tail = b"" if end is None else end.to_bytes(4, "little")
         words = [None if not t or "\0" in t or _HARD.search(t) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
         out = []
-        for a in range(0, len(texts), 64):
-            part = words[a : a + 64]
-            keys = set().union(*(w for w in part if w))
-            if not keys <= self.young.keys():
-                before = self.young
-                self._learn(keys)
-                if self.young is not before:
-                    self._learn(keys)
-            get = self.young.__getitem__
-            out += [(b"".join(map(get, w)) if w else self.plain(t) if t else b"") + tail for w, t in zip(part, texts[a : a + 64])]
+        for w, t in zip(words, texts):
+            if len(self.young) > PIECES:
+                self.old, self.young = self.young, {}
+            if w:
+                young = self.young
+                for k in set(w):
+                    if k not in young:
+                        self._get(k)
+                out.append(b"".join(map(young.__getitem__, w)) + tail)
+            else:
+                out.append((self.plain(t) if t else b"") + tail)
         return out
 
 
