@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bitpack, common, packing, suffix_dedup
+from . import bagminhash, bitpack, byte_cnn, common, packing, subword_toxicity, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +19,22 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return byte_cnn.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files of packed bits and read back from them."""
     files = bitpack.write(_table(spark, sf_dir, "documents"), common.scratch_dir(spark) + "/token-files", public_tokenizers.path("word_bpe_49k.json"), end=1)
     return bitpack.read_index(files)
 
 
+def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return subword_toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
@@ -37,7 +47,9 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op4_byte_cnn": op4_byte_cnn,
     "op5_bit_packed_ids": op5_bit_packed_ids,
+    "op6_subword_toxicity": op6_subword_toxicity,
     "op9_minimum_bin_slack": op9_minimum_bin_slack,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
