@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bitpack, byte_cnn, common, packing, subword_toxicity, suffix_dedup
+from . import bagminhash, bitpack, byte_cnn, common, decontaminate, iblt, langid_kn, packing, subword_toxicity, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op3_invertible_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, with likenesses."""
+    return iblt.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return byte_cnn.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -35,6 +40,16 @@ def op6_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subword_toxicity.predict(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_pigeonhole_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with their edit distances."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid_kn.predict(_table(spark, sf_dir, "documents"))
+
+
 def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2)
@@ -47,9 +62,12 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op3_invertible_bloom_sketch": op3_invertible_bloom_sketch,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_bit_packed_ids": op5_bit_packed_ids,
     "op6_subword_toxicity": op6_subword_toxicity,
+    "op7_pigeonhole_edit_matching": op7_pigeonhole_edit_matching,
+    "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_minimum_bin_slack": op9_minimum_bin_slack,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
