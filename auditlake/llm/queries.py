@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bitpack, byte_cnn, common, decontaminate, iblt, langid_kn, packing, subword_toxicity, suffix_dedup
+from . import bagminhash, bitpack, byte_cnn, common, decontaminate, hmm_lm, iblt, langid_kn, packing, subword_toxicity, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
 
 
+def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-likelihood of every document under a hidden Markov model and under its unigram base."""
+    return hmm_lm.likelihoods(_table(spark, sf_dir, "documents"))
+
+
 def op3_invertible_bloom_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text, with likenesses."""
     return iblt.fingerprints(_table(spark, sf_dir, "documents"))
@@ -60,8 +65,16 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bagminhash": op1_bagminhash,
+    "op2_hidden_markov": op2_hidden_markov,
     "op3_invertible_bloom_sketch": op3_invertible_bloom_sketch,
     "op4_byte_cnn": op4_byte_cnn,
     "op5_bit_packed_ids": op5_bit_packed_ids,
@@ -70,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_kneser_ney_language": op8_kneser_ney_language,
     "op9_minimum_bin_slack": op9_minimum_bin_slack,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

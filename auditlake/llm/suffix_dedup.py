@@ -32,6 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -408,3 +409,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def digest(cut: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 from remove_repeats()."""
     return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
+    """The rows and columns of ``docs`` with the repeated bytes taken out of the texts.
+
+    Bytes of a character that is cut through go with it. ``n_chars``, where the
+    column is there, is counted anew. Rows whose text is all repeated stay, empty.
+    """
+    texts = _slim(docs, id_col, text_col)
+    windows = repeated_windows(texts, length, **options).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("_windows")).withColumnRenamed("doc", "_windows_of")
+
+    def key(ids: pd.Series, values: pd.Series) -> pd.Series:
+        b = pa.RecordBatch.from_arrays([pa.array([None if pd.isna(i) else int(i) for i in ids], pa.int64()), pa.array(values, pa.string(), from_pandas=True)], names=["doc_id", "text"])
+        return pd.Series(_text_keys(b))
+
+    def cut(values: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, w in zip(values, found):
+            if w is not None and len(w) and text:
+                raw = text.encode()
+                gone = covered(np.array([x["low"] for x in w], np.int64), np.array([x["high"] for x in w], np.int64), length)
+                text = b"".join(raw[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(raw)])).decode("utf-8", "ignore")
+            out.append(text)
+        return pd.Series(out, dtype=object)
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = docs.withColumn("_key", F.pandas_udf(key, "long")(F.col(id_col).cast("long"), text))
+    joined = named.join(windows, F.col("_key") == F.col("_windows_of"), "left")
+    out = joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col).cast("string"), F.col("_windows")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
