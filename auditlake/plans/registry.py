@@ -1,4 +1,78 @@
-"""The queries on audits, by name."""
+"""The queries on audits, by name, and the SQL that their results are held against."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .. import config as K
+from ..operators import evaluate as E
+from ..operators import search as S
+from ..operators import text as T
+from ..sources import package
+from ..sources.standins import table, verdicts
+from . import sql
+
+#: Frequent function words in four languages.
+FREQUENT = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "der", "die", "und", "das", "ist", "mit", "auf", "für", "den", "von", "les", "des", "est", "pour", "dans", "que", "los", "del", "una", "para", "con", "por"]
+
+#: The vectors of the tables are spread more widely than those of a text model: their least likeness.
+LEAST = 0.25
+
+
+def _on_verdicts(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(verdicts(spark, sf_dir))
+
+
+def _on(name: str, f) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        package.send(spark)
+        return f(table(spark, sf_dir, name))
+
+    return query
+
+
+def _found(f) -> Callable[[DataFrame], DataFrame]:
+    return lambda docs: f(docs, S.candidates(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_sections": _on("documents", T.sections),
+    "p6_sentences": _on("documents", T.sentences),
+    "p8_numbers": _on("documents", T.unit_values),
+    "f2_contents_pages": _on("documents", T.leader_lines),
+    "f3_junk": _on("documents", lambda d: T.junk_signs(d).select("doc_id", "tokens", "short_share", "digit_share", "is_junk")),
+    "f4_readability": _on("documents", lambda d: T.readability(d, FREQUENT)),
+    "x4_hybrid_search": _on("documents", S.candidates),
+    "k1_features": _on("documents", lambda d: S.features(S.candidates(d))),
+    "j8_residual_sections": _on("documents", _found(S.residual_sections)),
+    "a16_mean_similarity": _on("documents", S.mean_similarity),
+    "x6_archive_search": _on("embeddings", lambda d: S.archive_search(d, LEAST)),
+    "x7_cross_references": _on("embeddings", lambda d: S.cross_references(d, LEAST)),
+    "x8_document_ranking": _on("embeddings", S.document_ranking),
+    "x9_best_pairs": _on("embeddings", lambda d: S.best_pairs(d, LEAST)),
+    "a1_kpis": _on_verdicts(E.kpis),
+    "a3_by_class": _on_verdicts(E.by_class),
+    "a4_why_not": _on_verdicts(E.why_not),
+    "a5_confusion": _on_verdicts(E.confusion),
+    "a5_regulated_scores": _on_verdicts(E.regulated_scores),
+    "a5_baselines": _on_verdicts(E.baselines),
+    "a6_mcnemar": _on_verdicts(E.mcnemar),
+    "a7_damage": _on_verdicts(E.damage),
+    "a7_damage_classes": _on_verdicts(E.damage_classes),
+    "a8_damage_baselines": _on_verdicts(E.damage_baselines),
+    "a9_sensitivity": _on_verdicts(E.sensitivity),
+    "a13_placement": _on_verdicts(E.placement),
+    "a14_placement_summary": _on_verdicts(E.placement_summary),
+    "a17_class_from_frequency": _on_verdicts(E.class_from_frequency),
+    "a18_deviation_share": _on_verdicts(E.deviation_share),
+    "a24_fingerprint": _on_verdicts(E.fingerprint),
+    "k10_signs": _on_verdicts(lambda v: E.signs(v).selectExpr("doc_id", "nr", "array_join(signs, ',') AS signs")),
+    "k11_flagged": _on_verdicts(E.flagged),
+    "w3_top_flags": _on_verdicts(E.top_flags),
+    "v1_violations": _on_verdicts(E.violations),
+    "j11_run_differences": _on_verdicts(E.run_differences),
+}
+
+ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)
