@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import labelled
 
-SAMPLE = 4000
+SAMPLE = 3000
 GRAMS, BUCKETS, DIM, WINDOW = (3, 4, 5), 1 << 16, 12, 4
 EPOCHS, BATCH, RATE = 12, 64, 0.03
 PASS = 0.3
@@ -134,15 +134,26 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 3) -> Mod
         m.constant = float(y[0]) if len(y) else 0.5
         return m
     r = np.random.default_rng(seed)
-    f, total, per = features(pa.array([t for t, _ in rows], pa.string()))
+    whole = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.string())], names=["text"])
+    made = [features(b.column("text")) for b in C.blocks(iter([whole]), limit=C.BLOCK_BYTES // 4)]
+    total, per = (np.concatenate([x[k] for x in made]) for k in (1, 2))
+    f, at = np.empty(int(total.sum()), np.int32), 0
+    while made:  # part by part, so that the features are held once
+        part = made.pop(0)[0]
+        f[at : at + len(part)] = part
+        at += len(part)
     first, end, text = windows(per)
     edge = np.concatenate([[0], np.cumsum(total)])
-    word = np.repeat(np.arange(len(total)), total)
+    cuts = np.searchsorted(edge, np.arange(0, len(f) + 1, 1 << 21)).tolist() + [len(total)]
+
+    def sums(table: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.add.reduceat(table[f[edge[x] : edge[z]]], edge[x:z] - edge[x]) for x, z in zip(cuts, cuts[1:]) if z > x] or [np.zeros(0)])
+
     begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     count = np.diff(np.append(begin, len(text)))
     g2, o2, b2 = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     for e in range(max(epochs, min(60, 30_000 // len(y)))):
-        z = m.logits(np.bincount(word, m.table()[f], len(total)), total, first, end)
+        z = m.logits(sums(m.table()), total, first, end)
         # The most toxic window of each text; at first, windows at random as well.
         top = np.lexsort((z, text))[begin + count - 1]
         chosen = np.concatenate([top, begin + (r.random(len(begin)) * count).astype(np.int64)]) if e < 3 else top
