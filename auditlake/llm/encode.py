@@ -18,6 +18,10 @@ import numpy as np
 #: Distinct pieces kept in each of two generations; the older one is dropped when the younger is full.
 PIECES = 900_000
 _HARD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+_LATIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Beyond these characters, which have no combining marks, lower case and normal form don't always change places.
+_BEYOND = re.compile(r"[^\x00-\u012f\u0131-\u024f]")
 _TAIL = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]+)")
 
 
@@ -30,6 +34,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        normal, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.lowers = normal is not None and normal.normalize_str("Ä") == "ä"
+        # How the pre-tokenizer writes a letter and the space before a word, from the library itself.
+        self.letters = {ord(c): split(c)[0][0] for c in _LATIN if normal is None or normal.normalize_str(c) == c}
+        self.space = split(" a")[0][0].removesuffix(self.letters[ord("a")])
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -39,6 +48,10 @@ class Encoder:
     def _new(self, piece: str) -> bytes:
         """The ids of one piece, by the library's normalizer, pre-tokenizer and model."""
         t = self.tokenizer
+        if _WORD.fullmatch(piece) and (normal := [self.letters.get(ord(c)) for c in piece.lstrip(" ")]) and None not in normal:
+            # Letters after at most one space are one pre-token.
+            ids = [x.id for x in t.model.tokenize((self.space if piece[0] == " " else "") + "".join(normal))]
+            return struct.pack(f"<{len(ids)}I", *ids)
         if t.normalizer is not None:
             piece = t.normalizer.normalize_str(piece)
         tokenize = t.model.tokenize
@@ -59,6 +72,8 @@ class Encoder:
     def batch(self, texts: list[str | None], end: int | None = None) -> list[bytes]:
         """The ids of each text (null: empty) and the end id, as little-endian unsigned 32-bit integers."""
         tail = b"" if end is None else end.to_bytes(4, "little")
+        if self.lowers:
+            texts = [t.lower() if t and not _BEYOND.search(t) else t for t in texts]
         words = [None if not t or "\0" in t or _HARD.search(t) else ("\0" + t).replace("\n", " \n").split(" ") for t in texts]
         out = []
         for w, t in zip(words, texts):
