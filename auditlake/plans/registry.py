@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as K
 from ..operators import evaluate as E
+from ..operators import evidence as V
 from ..operators import search as S
 from ..operators import text as T
 from ..sources import package
@@ -33,6 +34,10 @@ def _on(name: str, f) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
+def _with_labels(f) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _found(f) -> Callable[[DataFrame], DataFrame]:
     return lambda docs: f(docs, S.candidates(docs))
 
@@ -73,6 +78,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w3_top_flags": _on_verdicts(E.top_flags),
     "v1_violations": _on_verdicts(E.violations),
     "j11_run_differences": _on_verdicts(E.run_differences),
+    "f6_binding_sentences": _on("documents", V.binding_sentences),
+    "a10_sentence_assignment": _on("documents", V.sentence_assignment),
+    "p15_hard_facts": _on("documents", V.hard_facts),
+    "a11_value_ranges": _with_labels(V.value_ranges),
+    "a12_out_of_range": _with_labels(V.out_of_range),
+    "p12_json_answers": _on("events", V.json_answers),
+    "p5_headings": _on("documents", V.headings),
+    "a20_common_titles": _on("documents", V.common_titles),
+    "a22_topic_means": _on("embeddings", V.topic_means),
+    "k4_softmax": _on("documents", lambda d: V.softmax(S.features(S.candidates(d)))),
+    "k2_train_decider": _with_labels(V.train_decider),
+    "s11_archive": _on("documents", V.archive),
+    "x5_slots": _on("documents", V.slots),
+    "a19_regulated_by": _on_verdicts(V.regulated_by),
+    "x14_examples": _on_verdicts(V.examples),
+    "p19_renumbered": _on_verdicts(V.renumbered),
+    "liveness": _on("events", V.liveness),
+    "sessions": _on("events", V.sessions),
 }
 
 ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators import evidence as V
+
 _V = """
 e AS (SELECT user_id AS doc_id, CAST(event_id % 67 AS INTEGER) AS nr, event_type, value, event_id FROM events
       QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 67 ORDER BY ts DESC, event_id DESC) = 1),
@@ -15,6 +17,15 @@ m AS (SELECT *, coalesce(status = 'A' AND before IS NOT NULL AND before <> 'A',
 ms AS (SELECT *, CASE WHEN flagged THEN before ELSE status END AS model_status FROM m)"""
 
 
+SENTENCES = r"""WITH f AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'), '([.;!?]) ', '\1' || chr(1), 'g'), ' [-•] ', chr(1), 'g'), chr(1)) AS s FROM documents),
+g AS (SELECT doc_id, list_filter(list_transform(s, lambda x: trim(x, ' ')), lambda x: length(x) > 12) AS s FROM f),
+sent AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, s[i] AS sentence FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM g))"""
+NUMBERS = r"""WITH f AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*') AS r FROM documents),
+g AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, r[i] AS raw FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM f)),
+num AS (SELECT doc_id, pos, raw, TRY_CAST(CASE WHEN regexp_full_match(raw, '0[.,][0-9]+') THEN replace(raw, ',', '.') WHEN regexp_full_match(raw, '[0-9]{1,3}(\.[0-9]{3})+') THEN replace(raw, '.', '')
+  WHEN regexp_full_match(raw, '[0-9]{1,3}(,[0-9]{3}){2,}') THEN replace(raw, ',', '') ELSE replace(raw, ',', '.') END AS DOUBLE) AS value FROM g)"""
+
+
 def _weights(damage: dict) -> str:
     return "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{f}', {w})" for (r, f), w in damage.items()) + ") AS t(ref, found, weight))"
 
@@ -158,4 +169,52 @@ SELECT doc_id, nr, CASE WHEN len(all_) > 0 THEN 'A' ELSE status END AS status, C
 UNION ALL SELECT doc_id, nr, 'unrated' FROM v WHERE status IS NULL UNION ALL SELECT doc_id, nr, 'N with a probability' FROM v WHERE status = 'N' AND p >= 0.9""",
         "j11_run_differences": f"""{v}, a AS (SELECT doc_id, nr, status AS old FROM v WHERE status IS NOT NULL), b AS (SELECT doc_id, nr, other AS new FROM v WHERE p >= 0.05)
 SELECT doc_id, nr, old, new, CASE WHEN old IS NULL THEN 'added' WHEN new IS NULL THEN 'removed' WHEN old = new THEN 'same' ELSE 'changed' END AS change FROM a FULL OUTER JOIN b USING (doc_id, nr)""",
+        "f6_binding_sentences": f"{SENTENCES} SELECT doc_id, pos, sentence FROM sent WHERE regexp_matches(lower(sentence), '{V.NAMES}') AND regexp_matches(lower(sentence), '{V.PRESCRIBES}') AND NOT regexp_matches(lower(sentence), '{V.LEAVES_OPEN}')",
+        "a10_sentence_assignment": f"""{SENTENCES}, cat AS (SELECT * FROM (VALUES {", ".join(f"({nr}, {t!r})" for nr, _, t in k.CATALOGUE)}) AS t(nr, terms)),
+fit AS (SELECT doc_id, pos, nr, least(len(list_filter(terms, lambda t: CASE WHEN length(t) <= 3 THEN contains(' ' || regexp_replace(lower(sentence), '[^0-9a-zäöüß]', ' ', 'g') || ' ', ' ' || t || ' ') ELSE contains(lower(sentence), t) END)) / 3.0, 1.0) AS lex FROM sent CROSS JOIN cat),
+b AS (SELECT * FROM fit WHERE lex > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY lex DESC, nr) = 1)
+SELECT doc_id, nr, pos, round(lex, 6) AS score FROM b QUALIFY row_number() OVER (PARTITION BY doc_id, nr ORDER BY pos) = 1""",
+        "p15_hard_facts": """WITH f AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[A-Z]{3,}[0-9]*|[0-9]{4,}') AS r FROM documents),
+g AS (SELECT doc_id, r[i] AS x, min(i) AS i FROM (SELECT doc_id, r, unnest(range(1, len(r) + 1)) AS i FROM f) GROUP BY ALL)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_facts, string_agg(x, ' ' ORDER BY i) AS facts FROM g GROUP BY doc_id""",
+        "a11_value_ranges": f"{NUMBERS} SELECT lang, min(value) AS low, max(value) AS high, count(*) AS n FROM num JOIN documents USING (doc_id) WHERE value IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang",
+        "a12_out_of_range": f"""{NUMBERS}, r AS (SELECT lang, min(value) AS low, max(value) AS high FROM num JOIN documents USING (doc_id) WHERE value IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang)
+SELECT doc_id, raw, value FROM num JOIN documents USING (doc_id) JOIN r USING (lang) WHERE value < low OR value > high QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY pos) = 1""",
+        "p12_json_answers": "SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL",
+        "p5_headings": r"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS line, x[i] AS t FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents))),
+m AS (SELECT *, regexp_matches(t, '^\s*([0-9]+(?:\.[0-9]+)*)\.? +(\S.*)$') AS is_, sum(CASE WHEN regexp_matches(t, '^\s*([0-9]+(?:\.[0-9]+)*)\.? +(\S.*)$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS island FROM l),
+h AS (SELECT doc_id, min(line) AS line, arg_min(t, line) AS t, CAST(sum(CASE WHEN NOT is_ THEN length(trim(t, ' ')) ELSE 0 END) AS BIGINT) AS own_chars FROM m WHERE island > 0 GROUP BY doc_id, island),
+g AS (SELECT doc_id, line, regexp_extract(t, '^\s*([0-9]+(?:\.[0-9]+)*)\.? +(\S.*)$', 1) AS number, trim(regexp_extract(t, '^\s*([0-9]+(?:\.[0-9]+)*)\.? +(\S.*)$', 2), ' ') AS title, own_chars FROM h)
+SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, number, lower(title) ORDER BY line DESC) = 1""",
+        "a20_common_titles": """WITH t AS (SELECT source, string_split(text, chr(10))[1] AS title, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY ALL)
+SELECT source, title, n FROM t QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, length(title), title) = 1""",
+        "a22_topic_means": "SELECT label, CAST(i - 1 AS INTEGER) AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL",
+        "s11_archive": _archive(k),
+        "x5_slots": f"{sec} SELECT doc_id, count(*) AS sections, CAST(greatest({k.CANDIDATES}, least({k.CANDIDATES_MAX}, count(*) // {k.SECTIONS_A_SLOT})) AS INTEGER) AS slots FROM sec GROUP BY doc_id",
+        "k4_softmax": _softmax(f"{sec}, {vec}"),
+        "a19_regulated_by": f"{v} SELECT nr, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs FROM v WHERE ref IN ('E', 'T', 'A') GROUP BY nr",
+        "x14_examples": f"{v} SELECT nr, min(doc_id) AS doc_id FROM v WHERE ref = 'A' AND p > 0.4 GROUP BY nr ORDER BY nr LIMIT 3",
+        "p19_renumbered": f"""{v}, s AS (SELECT doc_id, nr, klass, min(nr) OVER (PARTITION BY doc_id, klass) AS start FROM v)
+SELECT doc_id, nr, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY start) AS INTEGER) AS chapter, CAST(row_number() OVER (PARTITION BY doc_id, klass ORDER BY nr) AS INTEGER) AS position FROM s""",
+        "liveness": """WITH l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id), x AS (SELECT user_id, epoch_us((SELECT max(ts) FROM events)) // 1000000 - epoch_us(last) // 1000000 AS silent_s FROM l)
+SELECT user_id, silent_s, CASE WHEN silent_s <= 60 THEN 'alive' WHEN silent_s <= 10800 THEN 'late' ELSE 'dead' END AS state FROM x""",
+        "sessions": """WITH s AS (SELECT user_id, ts, event_id, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
+k AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s), n AS (SELECT user_id, k, count(*) AS n FROM k GROUP BY ALL)
+SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id""",
     }
+
+
+def _archive(k) -> str:
+    odd = "|".join(f"{c}{{5,}}" for c in "abcdefghijklmnopqrstuvwxyzäöüß")
+    return f"""WITH {_sections(k)}, f AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS w FROM sec),
+g AS (SELECT doc_id, length(text) < {k.ARCHIVE_MIN_CHARS} AS short, regexp_matches(text, '\\.{{4,}}') OR regexp_matches(lower(text), '{odd}') OR len(w) < 5 OR len(list_filter(w, lambda x: length(x) <= 2)) / greatest(len(w), 1)::DOUBLE > 0.35
+  OR length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1)::DOUBLE > 0.18 AS junk FROM f)
+SELECT doc_id, count(*) FILTER (NOT short AND NOT junk) AS kept, count(*) FILTER (short) AS short, count(*) FILTER (NOT short AND junk) AS junk FROM g GROUP BY doc_id"""
+
+
+def _softmax(prefix: str) -> str:
+    z = ", ".join(f"{c[0]} + " + " + ".join(f"({w}) * {x}" for w, x in zip(c[1:], ("first", "three", "ten", "max_cos", "max_lex"))) + f" AS z_{s.lower()}" for s, c in V.COEFFICIENTS.items())
+    return f"""{prefix}, ft AS (SELECT doc_id, nr, round(sum(CASE WHEN rank <= 1 THEN score ELSE 0.0 END), 6) AS first, round(sum(CASE WHEN rank <= 3 THEN score ELSE 0.0 END) / 3, 6) AS three,
+round(sum(CASE WHEN rank <= 10 THEN score ELSE 0.0 END) / 10, 6) AS ten, max(cos) AS max_cos, max(lex) AS max_lex FROM cand GROUP BY doc_id, nr), z AS (SELECT doc_id, nr, {z} FROM ft),
+x AS (SELECT *, greatest(z_e, z_t, z_a, z_n) AS top FROM z), e AS (SELECT *, exp(z_e - top) AS e, exp(z_t - top) AS t, exp(z_a - top) AS a, exp(z_n - top) AS n FROM x)
+SELECT doc_id, nr, round(e / (e + t + a + n), 4) AS p_e, round(t / (e + t + a + n), 4) AS p_t, round(a / (e + t + a + n), 4) AS p_a, round(n / (e + t + a + n), 4) AS p_n, CASE WHEN z_e = top THEN 'E' WHEN z_t = top THEN 'T' END AS lifted FROM e"""
