@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as K
-from ..functions.columns import lexical_score, padded_words
+from ..functions.columns import literal_score, padded_words
 from . import text as T
 
 # Names that bind to one product, words that prescribe, words that leave it open.
@@ -24,10 +24,9 @@ def sentence_assignment(docs: DataFrame) -> DataFrame:
 
     The criteria are a literal array, so no join and no pairs: the best is taken within the row.
     """
-    terms = F.array(*(F.struct(F.lit(nr).alias("nr"), F.array(*map(F.lit, t)).alias("terms")) for nr, _, t in K.CATALOGUE))
-    low, pad = F.lower("sentence"), padded_words(F.col("sentence"))
-    s = T.sentences(docs).withColumns({"low": low, "pad": pad})
-    fits = F.transform(terms, lambda c: F.struct((-lexical_score(F.col("low"), F.col("pad"), c["terms"])).alias("minus"), c["nr"].alias("nr")))
+    # As the output of a generator, both forms are made once for a sentence and not once for a term.
+    s = T.sentences(docs).select("doc_id", "pos", F.explode(F.array(F.struct(F.lower("sentence").alias("low"), padded_words(F.col("sentence")).alias("pad")))).alias("x")).select("doc_id", "pos", "x.*")
+    fits = F.array(*(F.struct((-literal_score(F.col("low"), F.col("pad"), t)).alias("minus"), F.lit(nr).alias("nr")) for nr, _, t in K.CATALOGUE))
     best = s.select("doc_id", "pos", F.array_min(fits).alias("b")).filter("b.minus < 0")
     first = best.groupBy("doc_id", F.col("b.nr").alias("nr")).agg(F.min(F.struct("pos", "b.minus")).alias("f"))
     return first.select("doc_id", "nr", "f.pos", F.round(-F.col("f.minus"), 6).alias("score"))
