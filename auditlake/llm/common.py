@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _M64 = (1 << 64) - 1
 #: Shuffle files go when the query that made them ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

@@ -16,7 +16,7 @@ import struct
 import numpy as np
 
 #: Distinct pieces kept in each of two generations; the older one is dropped when the younger is full.
-PIECES = 300_000
+PIECES = 160_000
 _HARD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
 _LATIN = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 _WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
