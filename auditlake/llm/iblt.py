@@ -41,15 +41,20 @@ _CHECK = np.uint64(0xFF51AFD7ED558CCD)
 
 
 def digests(text: str) -> np.ndarray:
-    """64-bit digests of the paragraphs of a text, one for each occurrence."""
-    out, seen = [], {}
+    """The set of 64-bit digests of the paragraphs of a text, one for each occurrence.
+
+    The place among equal paragraphs is mixed in afterwards: as the seed of the hash
+    of a short text it makes collisions.
+    """
+    base, place, seen = [], [], {}
     for line in _ENDS.split(text):
         words = line.split()
         for a in range(0, len(words), WORDS):
             p = " ".join(words[a : a + WORDS])
             k = seen[p] = seen.get(p, -1) + 1
-            out.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace"), k))
-    return np.array(out, np.uint64)
+            base.append(xxhash.xxh3_64_intdigest(p.encode("utf-8", "replace")))
+            place.append(k)
+    return np.unique(C.mix64(np.array(base, np.uint64) + C.mix64(np.array(place, np.uint64) + np.uint64(0x51ED270B))))
 
 
 class Sketch:
