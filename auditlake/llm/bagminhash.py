@@ -19,11 +19,12 @@ are never drawn.
 *Groups.* Texts with equal words are one node. Nodes that agree in a whole band
 share a bucket. In each bucket every node is compared with one centre, by
 sketches of the signatures (one byte a component) and then on the exact multisets; the centres of a node's buckets differ, so a node of a large
-group is compared with up to as many others as there are bands. After that, the
+group is compared with up to as many others as there are bands, the likeliest first and the others
+only where groups are still apart. After that, the
 nodes of a bucket that are not in the group of most of its nodes are held against
-all its nodes of other groups, in blocks of sketches, without listing pairs: for each node and each other group the
-likeliest partners are compared exactly. One link joins two groups, so no more are
-needed. Groups are the connected components of the links found.
+all its nodes of other groups, in blocks: every pair whose sketches are close enough is compared exactly, the
+likeliest first, unless its groups have met in the block already. The pairs of a block stay within its row and are
+never listed; a pair of several buckets is compared in the first. Groups are the connected components of the links found.
 
 A pair at the threshold has no common band with probability 5e-5, and its sketches
 fall below ``SKETCH_LEAST`` with probability 5e-5; both fall quickly above it.
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -48,10 +49,10 @@ from . import common as C
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 25, 5
-#: Least share of equal sketch bytes of a pair that is compared, and partners tried for a node and another group.
-SKETCH_LEAST, PARTNERS = 0.66, 8
-#: Nodes of one side of a block.
-SIDE = 512
+#: Least share of equal sketch bytes of a pair that is compared.
+SKETCH_LEAST = 0.66
+#: Nodes of one side of a block, and bytes of their texts.
+SIDE, SIDE_BYTES = 512, 4 << 20
 
 
 def _multiset(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,51 +149,83 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(low) / max(1, a[1].sum() + b[1].sum() - low)
 
 
-def _verify(k: int, threshold: float):
-    def sets(texts: pa.Array):
-        _, _, _, h, per = C.words_of(texts)
-        s, doc, w = _multiset(*C.shingles(h, per, k))
-        edge = np.searchsorted(doc, np.arange(len(per) + 1))
-        return [(s[x:y], w[x:y]) for x, y in zip(edge, edge[1:])]
+def _sets(texts: pa.Array, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    _, _, _, h, per = C.words_of(texts)
+    s, doc, w = _multiset(*C.shingles(h, per, k))
+    edge = np.searchsorted(doc, np.arange(len(per) + 1))
+    return [(s[x:y], w[x:y]) for x, y in zip(edge, edge[1:])]
+
 
+def _verify(k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches, "text_a"):
             for c in C.blocks(iter([b]), "text_b"):
-                ok = [jaccard(x, y) >= threshold for x, y in zip(sets(c.column("text_a")), sets(c.column("text_b")))]
+                ok = [jaccard(x, y) >= threshold for x, y in zip(_sets(c.column("text_a"), k), _sets(c.column("text_b"), k))]
                 yield c.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
-def _close(a, b):
-    """Whether the sketches of pairs (binary columns) have enough equal bytes."""
+def _share(a, b):
+    """Share of equal bytes of the sketches of pairs (binary columns)."""
     import pandas as pd
 
     x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1) for c in (a, b))
-    return pd.Series((x == y).mean(axis=1) >= SKETCH_LEAST)
+    return pd.Series((x == y).mean(axis=1))
 
 
-def _likeliest(m: int):
-    """For each node of ``rest`` and each other group in ``nodes``, two nodes with the most equal sketch bytes."""
+def _candidates(m: int, n_bands: int):
+    """For each block of ``rest`` and ``nodes``, all pairs of different groups to compare, the likeliest first, with the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(nodes: pa.Array):
             x = nodes.values.flatten()
             sketch = np.frombuffer(b"".join(x[2].to_pylist()), np.uint8).reshape(-1, m)
-            return x[0].to_numpy(), x[1].to_numpy(), sketch
-
-        for b in batches:
-            for rest, nodes in zip(b.column("rest"), b.column("nodes")):
-                (a, own, sa), (c, other, sc) = side(rest), side(nodes)
-                out = []
-                for i in range(len(a)):
-                    share = (sc == sa[i]).mean(axis=1)
-                    ok = np.flatnonzero((share >= SKETCH_LEAST) & (other != own[i]))
-                    ok = ok[np.lexsort((c[ok], -share[ok], other[ok]))]
-                    rank = np.arange(len(ok)) - np.searchsorted(other[ok], other[ok])
-                    out += [(a[i], c[j], other[j], share[j]) for j in ok[rank < 2]]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "other", "share"])
+            return x[0].to_numpy(), x[1].to_numpy(), sketch, x[3].flatten().to_numpy().reshape(-1, n_bands)
+
+        for batch in batches:
+            for band, r, c, most, centre, rest, nodes in zip(*(batch.column(k) for k in ("band", "r", "c", "most", "centre", "rest", "nodes"))):
+                (a, own, sa, ba), (b, other, sb, bb) = side(rest), side(nodes)
+                centre, found = centre.as_py(), []
+                for i in np.flatnonzero(a != centre):
+                    # Pairs with the centre have been compared; a pair that both sides list is taken once.
+                    ok = np.flatnonzero((other != own[i]) & (b != centre) & ((other == most.as_py()) | (a[i] < b)))
+                    share = (sb[ok] == sa[i]).mean(axis=1)
+                    ok, share = ok[share >= SKETCH_LEAST], share[share >= SKETCH_LEAST]
+                    here = ba[i][(bb[ok] == ba[i]).argmax(axis=1)] == band.as_py()
+                    found.append((np.full(here.sum(), i), ok[here], share[here]))
+                if not sum(len(x[0]) for x in found):
+                    continue
+                i, j, share = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((j, i, -share))
+                i, j = i[order], j[order]
+                row = [C.lists(x, np.array([len(i)]), pa.int64()) for x in (a[i], b[j], own[i], other[j])]
+                yield pa.RecordBatch.from_arrays([pa.array([band.as_py()]), pa.array([r.as_py()], pa.int32()), pa.array([c.as_py()], pa.int32()), *row], names=["band", "r", "c", "a", "b", "la", "lb"])
+
+    return run
+
+
+def _links(k: int, threshold: float):
+    """Links of the pairs of a block that join groups which have not met in it."""
+
+    def run(unit: pa.Table, texts: pa.Table) -> pa.Table:
+        place = {n: i for i, n in enumerate(texts.column("node").to_pylist())}
+        sets = [x for b in texts.select(["text"]).to_batches() for y in C.blocks(iter([b])) for x in _sets(y.column("text"), k)]
+        sizes = [int(w.sum()) for _, w in sets]
+        up: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        out = []
+        for a, b, x, y in zip(*(unit.column(c)[0].values.to_pylist() for c in ("a", "b", "la", "lb"))):
+            x, y, i, j = top(x), top(y), place[a], place[b]
+            if x != y and min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]) and jaccard(sets[i], sets[j]) >= threshold:
+                up[y] = x
+                out.append((a, b))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
 
@@ -240,22 +273,35 @@ def near_duplicates(
     def linked(pairs: DataFrame) -> DataFrame:
         return C.saved(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, threshold), "a long, b long"), "links")
 
-    close = F.pandas_udf(_close, "boolean")(F.col("sketch"), F.col("centre_sketch"))
-    stars = bucket.filter("node <> centre").filter(close).select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    links = linked(stars)
+    def of_groups(pairs: DataFrame) -> DataFrame:
+        of = lambda end, name: label.select(F.col("node").alias(end), F.col("label").alias(name))
+        return pairs.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")})
+
+    # Each node and its likeliest centre, then the centres of groups that are still apart.
+    share = F.pandas_udf(_share, "double")(F.col("sketch"), F.col("centre_sketch"))
+    stars = C.saved(bucket.filter("node <> centre").select("node", "centre", share.alias("share")).filter(F.col("share") >= SKETCH_LEAST).distinct(), "stars")
+    ends = lambda df: df.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    first = C.saved(ends(stars.groupBy("node").agg(F.max_by("centre", F.struct("share", "centre")).alias("centre"))), "pairs")
+    links = linked(first)
     label = components(links)
+    more = linked(C.saved(of_groups(ends(stars).join(first, ["a", "b"], "left_anti")).filter("la <> lb").select("a", "b"), "pairs"))
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        label = components(links)
 
     # Buckets with nodes of different groups: the others against all, in blocks.
-    now = C.saved(bucket.drop("centre", "centre_sketch").join(label, "node", "left").select("band", "node", "sketch", F.coalesce("label", "node").alias("label")), "labelled")
-    sizes = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("most")).filter("groups > 1")
-    open_ = now.join(sizes, "band")
-    blocks = lambda df: df.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SIDE)).cast("int")).groupBy("band", "block").agg(F.collect_list(F.struct("node", "label", "sketch")).alias("nodes"))
-    some = blocks(open_.filter("label <> most")).select("band", F.col("nodes").alias("rest"))
-    met = some.join(blocks(open_).select("band", "nodes"), "band").select("rest", "nodes").mapInArrow(_likeliest(n_bands * rows), "a long, b long, other long, share double")
-    w = Window.partitionBy("a", "other").orderBy(F.desc("share"), "b")
-    best = met.groupBy("a", "b", "other").agg(F.max("share").alias("share")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= PARTNERS)
-    pairs = C.saved(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    found = linked(pairs)
+    now = bucket.select("band", "node", "sketch", "centre").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    now = C.saved(now.join(texts.select("node", F.octet_length("text").alias("size")), "node"), "labelled")
+    sizes = now.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")).groupBy("band").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.max_by("label", F.struct("n", "label")).alias("most"))
+    open_ = now.join(sizes.filter("groups > 1 and n > 2").drop("groups"), "band")
+    open_ = C.saved(open_.join(reps.groupBy("node").agg(F.first("bands").alias("bands")), "node"), "open")
+    block = F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("bytes") / SIDE_BYTES))).cast("int")
+    blocks = lambda df, at: df.groupBy("band", block.alias(at), "most", "centre").agg(F.collect_list(F.struct("node", "label", "sketch", "bands")).alias("nodes"))
+    some = blocks(open_.filter("label <> most"), "r").withColumnRenamed("nodes", "rest")
+    met = some.join(blocks(open_, "c").select("band", "c", "nodes"), "band")
+    units = C.saved(met.mapInArrow(_candidates(n_bands * rows, n_bands), "band long, r int, c int, a array<long>, b array<long>, la array<long>, lb array<long>"), "units")
+    of_units = units.select(F.col("band").alias("band2"), F.col("r").alias("r2"), F.col("c").alias("c2"), F.explode(F.array_union("a", "b")).alias("node")).join(texts, "node")
+    found = C.saved(units.groupBy("band", "r", "c").cogroup(of_units.groupBy("band2", "r2", "c2")).applyInArrow(_links(k, threshold), "a long, b long"), "links")
     if found.limit(1).count():
         label = components(links.unionByName(found))
 

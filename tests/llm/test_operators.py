@@ -93,6 +93,24 @@ def test_large_near_group(spark):
     assert {(r.doc_id, r.group_id) for r in got} == {(k, texts[g][0]) for k, g in enumerate(want)}
 
 
+def test_link_by_one_member_of_a_family(spark):
+    """Texts that reach 0.8 with one of hundreds of revisions only, whose sketch is not among the likeliest."""
+    r = random.Random(5)
+    base = prose(900, r=r).split()
+    places = [5 * i + 2 for i in range(179)]
+    edited = lambda at, by: " ".join(f"{by}{i}" if i in at else w for i, w in enumerate(base))
+    family = [(k, edited({places[k]}, "edit")) for k in range(150)]
+    for k in range(6):
+        own = set(r.sample([p for i, p in enumerate(places) if i != 20 * k], 19))
+        w = edited(own, f"far{k}x").split()
+        w[places[20 * k]] = f"edit{places[20 * k]}"
+        family.append((1000 + k, " ".join(w)))
+    got = bagminhash.near_duplicates(spark.createDataFrame(family, "doc_id long, text string")).collect()
+    want = groups_by_hand(family)
+    assert len(set(want)) == 1
+    assert {(r.doc_id, r.group_id) for r in got} == {(x[0], family[g][0]) for x, g in zip(family, want)}
+
+
 def test_signatures_are_unbiased():
     a = np.array([1, 2, 3, 4, 5], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     s, d = np.concatenate([a, a]), np.repeat([0, 1], 5)
