@@ -250,7 +250,10 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, k: int = SHINGLE, n_bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, copy_id (smallest id with the same words), group_id (smallest id of the near-duplicate group), node."""
+    """One row for each row of ``docs``: doc_id, copy_id (smallest id with the same words), group_id (smallest id of the near-duplicate group), node, label.
+
+    ``label`` is the key of a group: groups of different texts can have the same smallest id, or none.
+    """
     spark = docs.sparkSession
     C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -307,9 +310,9 @@ def near_duplicates(
 
     groups = nodes.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = groups.groupBy("label").agg(F.min("copy_id").alias("group_id"))
-    named = groups.join(least, "label").select(F.col("node").alias("n2"), "copy_id", "group_id")
+    named = groups.join(least, "label").select(F.col("node").alias("n2"), "copy_id", "group_id", "label")
     ids = signed.select("doc_id", "node")
-    return ids.join(named, ids.node == named.n2).select("doc_id", "copy_id", "group_id", "node")
+    return ids.join(named, ids.node == named.n2).select("doc_id", "copy_id", "group_id", "node", "label")
 
 
 def _texts_of(slim: DataFrame, ends: DataFrame) -> DataFrame:
@@ -325,9 +328,10 @@ def _texts_of(slim: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: Column | None = None, **options) -> DataFrame:
-    """Rows of ``docs`` without all but one of each near-duplicate group: the row with the smallest id stays (of equal rows, one)."""
+    """Rows of ``docs`` without all but one of each near-duplicate group: the row with the smallest id stays (of equal ids, that of the smallest node; of equal rows, one)."""
     groups = near_duplicates(docs, id_col, text_col, **options)
-    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy("group_id").agg(F.min("node").alias("_keep_node")).withColumnRenamed("group_id", "_keep_id")
+    least = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
+    stay = least.select(F.col("least.doc_id").alias("_keep_id"), F.col("least.node").alias("_keep_node"))
 
     def key(texts):
         import pandas as pd

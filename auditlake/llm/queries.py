@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate group of every document."""
-    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node")
+    return bagminhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("node", "label")
 
 
 def op2_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,6 +93,17 @@ def test_large_near_group(spark):
     assert {(r.doc_id, r.group_id) for r in got} == {(k, texts[g][0]) for k, g in enumerate(want)}
 
 
+def test_groups_without_an_id_of_their_own(spark):
+    """Different texts with null ids, or with one id, are groups of their own."""
+    r = random.Random(3)
+    texts = [(None, prose(30, r=r)), (None, prose(30, r=r)), (5, prose(30, r=r)), (5, prose(30, r=r)), (7, prose(30, r=r))]
+    table = spark.createDataFrame([*texts, texts[1], (9, texts[3][1] + " ")], "doc_id long, text string")
+    assert sorted(bagminhash.keep_one(table).collect(), key=str) == sorted(texts, key=str)
+    groups = bagminhash.near_duplicates(table).collect()
+    assert len({x.label for x in groups}) == 5
+    assert sorted((str(x.doc_id), str(x.group_id)) for x in groups) == [("5", "5")] * 2 + [("7", "7"), ("9", "5")] + [("None", "None")] * 3
+
+
 def test_link_by_one_member_of_a_family(spark):
     """Texts that reach 0.8 with one of hundreds of revisions only, whose sketch is not among the likeliest."""
     r = random.Random(5)
