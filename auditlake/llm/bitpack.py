@@ -13,7 +13,8 @@ writer replaces a file as a whole, so a repeated task writes the same file again
 
 Defined cases: null and empty texts are the end id alone; repeated rows are
 repeated documents, in the order of their texts; null ids come first; an empty
-table gives no file and an empty result.
+table gives no file and an empty result; very long texts are documents like all
+others, in one file; other columns of the input are left out.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from . import common as C
 from . import encode
 
 BLOCK = 1 << 16
-#: Unpacked bytes after which a range goes on in another file.
-FILE_BYTES = 64 << 20
+#: Bytes of ids after which a range goes on in another file.
+FILE_BYTES = 16 << 20
 _HEAD = struct.Struct("<4sIIQQ")
 _MAGIC = b"ALTB"
 
@@ -126,22 +127,25 @@ def _write(folder: str, tokenizer: str, end: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size, names, lengths, held = None, 0, 0, [], [], []
         for b in C.blocks(batches):
-            ids = encode.encoder(tokenizer).batch(b.column("text").to_pylist(), end)
-            for p, name, x in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), ids):
-                if names and (p != part or size >= FILE_BYTES):
+            ids, off = encode.encoder(tokenizer).flat(b.column("text"), end)
+            parts, doc_ids = b.column("part").to_numpy(), b.column("doc_id").to_pylist()
+            edges = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1], True]).tolist()
+            for a, z in zip(edges, edges[1:]):
+                if names and (parts[a] != part or size >= FILE_BYTES):
                     yield _stored(folder, part, seq, names, lengths, held, bits)
-                    seq, size, names, lengths, held = seq + 1 if p == part else 0, 0, [], [], []
-                part, size = p, size + len(x)
-                names.append(name)
-                lengths.append(len(x) // 4)
-                held.append(x)
+                    seq, size, names, lengths, held = seq + 1 if parts[a] == part else 0, 0, [], [], []
+                part = int(parts[a])
+                names += doc_ids[a:z]
+                lengths += np.diff(off[a : z + 1]).tolist()
+                held.append(ids[off[a] : off[z]].astype("<u2" if bits <= 16 else "<u4"))
+                size += held[-1].nbytes
         if names:
             yield _stored(folder, part, seq, names, lengths, held, bits)
 
     return run
 
 
-def _stored(folder: str, part: int, seq: int, names: list, lengths: list, held: list[bytes], bits: int) -> pa.RecordBatch:
+def _stored(folder: str, part: int, seq: int, names: list, lengths: list, held: list[np.ndarray], bits: int) -> pa.RecordBatch:
     """Writes one file under a name of its own, then moves it in place: what a stopped task leaves is never read."""
     import uuid
 
@@ -151,7 +155,7 @@ def _stored(folder: str, part: int, seq: int, names: list, lengths: list, held:
     files.create_dir(base, recursive=True)
     own, name = f"{base}/_{uuid.uuid4().hex}", f"part-{part:05d}-{seq:04d}.altb"
     with files.open_output_stream(own) as f:
-        f.write(serialize(names, lengths, np.frombuffer(b"".join(held), "<u4"), bits))
+        f.write(serialize(names, lengths, np.concatenate(held).astype(np.uint32), bits))
     files.move(own, f"{base}/{name}")
     return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_ids": pa.array([sum(lengths)], pa.int64())})
 
@@ -164,8 +168,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     spark = docs.sparkSession
     C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts, bounds = C.in_ranges(slim)
-    dealt = parts.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
+    parts, n = C.in_ranges(slim)
+    dealt = parts.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     bits = width(encode.vocabulary(tokenizer))
     files = dealt.mapInArrow(_write(folder, tokenizer, end, bits), "part int, seq int, file string, n_ids long").collect()  # one row a file
     rows, start = [], 0

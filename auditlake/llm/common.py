@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -16,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task works on at once.
-BLOCK_BYTES = 1 << 19
+#: Bytes of text that a task works on at once, and of the Arrow batches that it gets.
+BLOCK_BYTES, BATCH_BYTES = 1 << 19, 2 << 20
 _M64 = (1 << 64) - 1
 #: Shuffle files go when the query that made them ends.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -29,11 +30,13 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names.
 
-    Only where the cluster names none (tests on one machine) is a local
-    temporary folder taken.
+    Only on one machine (tests), where none is named, is a local temporary folder
+    taken; a cluster that names none is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "auditlake-checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/auditlake-{uuid.uuid4().hex}"
@@ -49,7 +52,16 @@ def saved(df: DataFrame, name: str = "t") -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that no later plan reads."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def prepare(spark: SparkSession) -> None:
@@ -65,6 +77,18 @@ def prepare(spark: SparkSession) -> None:
         context._auditlake_sent = True
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``docs`` does not have."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:
@@ -91,6 +115,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
         edges = [0, *cuts.tolist(), n]
         for a, z in zip(edges, edges[1:]):
             yield b.slice(a, z - a)
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives memory that is free back to the machine: workers wait for their next task with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def joined(texts: pa.Array, sep: bytes = b" ") -> tuple[np.ndarray, np.ndarray]:
@@ -157,11 +191,11 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(d == 1), np.flatnonzero(d == -1)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z as a-z: polynomial over random byte values from prefix sums."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = LOWER_VALUES) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z as a-z (or by other values of bytes): polynomial over random byte values from prefix sums."""
     n = len(buf)
     c = np.zeros(n + 1, np.uint64)
-    np.cumsum(LOWER_VALUES[buf] * powers(_BASE, n), out=c[1:])
+    np.cumsum(values[buf] * powers(_BASE, n), out=c[1:])
     h = (c[ends] - c[starts]) * powers(_INV, n + 1)[starts]
     return mix64(h ^ (ends - starts).astype(np.uint64))
 
@@ -208,22 +242,53 @@ def lists(values: np.ndarray, per: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 #: Text bytes that one range of ids should have.
 RANGE_BYTES = 8 << 20
+_NULL_ID = -(2**63)
 
 
-def in_ranges(docs: DataFrame, target: int = RANGE_BYTES) -> tuple[DataFrame, list[int]]:
-    """docs(doc_id long, text string) with ``part``, the number of the range of ids that the row is in (null ids: 0), and the bounds.
+def in_ranges(docs: DataFrame, target: int = RANGE_BYTES) -> tuple[DataFrame, int]:
+    """docs(doc_id long, text string) with ``part``, the number of the range that the row is in, and the number of ranges.
 
-    Ranges come from approximate quantiles of the ids alone, so no text is read twice for them.
+    Rows ascend with ``part`` by (doc_id, null first). Bounds come from approximate
+    quantiles of the ids alone, so no text is read twice for them. An id that fills
+    ranges alone (or null) is a range of its own, dealt on by the hash of the text to
+    as many parts as its bytes need. Ranges are ``target`` bytes on average, larger
+    beyond 20,000 of them.
     """
     spark = docs.sparkSession
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     n = max(1, min(size.n, -(-(size.b or 0) // target), 20_000))
-    bounds = sorted(set(map(int, docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n)))) if n > 1 else []
-    sent = spark.sparkContext.broadcast(np.array(bounds, np.int64))
+    cuts = list(map(int, docs.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    alone = {a for a, b in zip(cuts, cuts[1:]) if a == b and a < 2**63 - 1}
+    bounds = np.array(sorted({*cuts, *(a + 1 for a in alone), _NULL_ID + 1}), np.int64)
+    sent = spark.sparkContext.broadcast(bounds)
 
     def part(ids):
         import pandas as pd
 
         return pd.Series(np.searchsorted(sent.value, ids.to_numpy(), side="right"), dtype="int32")
 
-    return docs.withColumn("part", F.pandas_udf(part, "int")(F.coalesce("doc_id", F.lit(-(2**63))))), bounds
+    ranged = docs.withColumn("part", F.pandas_udf(part, "int")(F.coalesce("doc_id", F.lit(_NULL_ID))))
+    hot = [0, *(int(np.searchsorted(bounds, a, side="right")) for a in alone)]
+    shares: dict[int, int] = {}
+    if n > 1:
+        ids = F.col("doc_id").isNull() | F.col("doc_id").isin(sorted(alone)) if alone else F.col("doc_id").isNull()
+        sizes = docs.filter(ids).groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("b")).collect()  # at most as many rows as bounds
+        for r in sizes:
+            k = hot[0] if r.doc_id is None else int(np.searchsorted(bounds, r.doc_id, side="right"))
+            shares[k] = max(1, -(-(r.b or 0) // target))
+    room = np.ones(len(bounds) + 1, np.int64)
+    for k, m in shares.items():
+        room[k] = m
+    first = np.cumsum(room) - room
+    if shares:
+        table = spark.sparkContext.broadcast((first.astype(np.int32), room.astype(np.int32)))
+
+        def spread(parts, hashes):
+            import pandas as pd
+
+            f, r = table.value
+            p = parts.to_numpy()
+            return pd.Series(f[p] + hashes.to_numpy() % r[p], dtype="int32")
+
+        ranged = ranged.withColumn("part", F.pandas_udf(spread, "int")("part", F.xxhash64("text").bitwiseAND((1 << 31) - 1)))
+    return ranged, int(room.sum())

@@ -9,7 +9,8 @@ counts allow at once; each step uses up most of a length, so there are at most
 some thousands of steps however many pieces there are. The plan is then a table
 of intervals of ranks: the pieces of one length, in any order, fill the places
 for that length. Ranks come from counts by length and salt, so a length that
-holds most pieces is counted and numbered by many tasks.
+holds most pieces is counted and numbered by many tasks; there are as many salts
+as keep a length and salt to ``SALT_ROWS`` rows on average.
 
 Defined cases: null and empty texts are the end id alone, one piece; repeated
 rows are packed each; an empty table gives an empty result.
@@ -29,7 +30,7 @@ from . import common as C
 from . import encode
 
 LENGTH = 1024
-SALTS = 64
+SALT_ROWS = 50_000
 
 
 def cut(n: int, length: int) -> list[tuple[int, int]]:
@@ -90,29 +91,54 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, int
 def _pieces(tokenizer: str, end: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
-            out = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), encode.encoder(tokenizer).batch(b.column("text").to_pylist(), end)):
-                out += [(d, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut(len(ids) // 4, length))]
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, off = encode.encoder(tokenizer).flat(b.column("text"), end)
+            size = np.diff(off)
+            first = np.where(size > 0, np.where(size % length > 0, size % length, np.minimum(size, length)), 0)  # only longer ones are cut, the first piece is the shorter one
+            n = np.where(size > 0, 1 + (size - first) // length, 0)
+            doc = np.repeat(np.arange(len(size)), n)
+            piece = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+            start = np.where(piece > 0, first[doc] + (piece - 1) * length, 0)
+            room = np.where(piece > 0, length, first[doc])
+            raw = ids.astype("<u4").data.cast("B") if len(ids) else b""
+            at = (off[doc] + start) * 4
+            crc = np.array([zlib.crc32(raw[a:z]) for a, z in zip(at.tolist(), (at + room * 4).tolist())], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(room, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"]
+            )
+
+    return run
+
+
+def _placed(sent, length: int):
+    """Sequence and offset of numbered pieces: the interval of the plan that a piece's rank is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, low, first, copies, at = sent.value
+        key = n << 40 | low
+        for b in batches:
+            size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
+            i = np.searchsorted(key, size << 40 | rank, side="right") - 1
+            own = rank - low[i]
+            cols = [*(b.column(k) for k in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(first[i] + own // copies[i]), pa.array(at[i] + own % copies[i] * size)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return run
 
 
 def pack(docs: DataFrame, tokenizer: str, end: int, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document; other columns of ``docs`` are left out."""
     spark = docs.sparkSession
     C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = slim.mapInArrow(_pieces(tokenizer, end, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    pieces = C.saved(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = C.saved(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")), "counts")  # at most length x SALTS rows
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = spark.createDataFrame(plan(histogram, length), "length long, low long, high long, first long, copies long, at long")
-    before = counts.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as before")
-    ranked = pieces.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as own").join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.expr("before + own"))
-    # At most `length` rows a step of the plan and some thousand steps: a bounded table.
-    placed = ranked.join(F.broadcast(places), "length").filter("rank >= low and rank < high")
-    return placed.selectExpr(
-        "doc_id", "piece", "start", "length", "ids_crc32", "first + (rank - low) div copies as sequence_id", "at + pmod(rank - low, copies) * length as offset"
-    )
+    pieces = C.saved(slim.mapInArrow(_pieces(tokenizer, end, length), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row a length
+    salts = max(16, max(histogram.values(), default=0) // SALT_ROWS)
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = C.saved(counts.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as before"), "before")
+    ranked = salted.selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece, ids_crc32) - 1 as own").join(before, ["length", "salt"]).withColumn("rank", F.expr("before + own"))
+    rows = np.array(plan(histogram, length) or [(length, 0, 0, 0, 1, 0)], np.int64)
+    n, low, _, first, copies, at = rows[np.lexsort((rows[:, 1], rows[:, 0]))].T  # some thousand rows
+    sent = spark.sparkContext.broadcast((n, low, first, copies, at))
+    kept = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    return kept.mapInArrow(_placed(sent, length), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

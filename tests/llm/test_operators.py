@@ -13,6 +13,7 @@ import pytest
 from auditlake.llm import bagminhash, bitpack, byte_cnn, common, decontaminate, encode, hmm_lm, iblt, langid_kn, packing, subword_toxicity, suffix_dedup
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+tokenizers = pytest.importorskip("tokenizers")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, part string, low string"
 R = random.Random(7)
 WORDS = ["".join(R.choice("abcdefghij") for _ in range(R.randint(2, 7))) for _ in range(400)]
@@ -176,7 +177,7 @@ def test_fingerprints(docs, rows, empty, spark):
     for k, (has, i, a) in enumerate(order):
         b = order[(k + 1) % len(order)][2]
         e = iblt.edited(a, b)
-        da, de, db = (set(iblt.digests(t).tolist()) for t in (a, e, b))
+        da, de, db = (set(iblt.digests(pa.array([t]))[0].tolist()) for t in (a, e, b))
         like = lambda x, y: round(len(x & y) / len(x | y), 9) if x | y else 1.0
         want.append((has, i, len(a), hashlib.sha256(e.encode()).hexdigest(), like(da, de), like(da, db)))
     assert got == sorted(want)
@@ -189,13 +190,37 @@ def test_fingerprints(docs, rows, empty, spark):
     assert one.near_next == 1.0
 
 
+def test_digests_by_hand():
+    texts = ["a b. c d\ne f", None, "", "x " * 30 + "y", "same. same. same.", "é! é! z", "A b. c d\ne f"]
+    d, per = iblt.digests(pa.array(texts))
+    assert per.tolist() == [3, 0, 0, 3, 3, 3, 3] and len(set(d.tolist())) == len(d) - 2
+    assert d[:3].tolist()[1:] == d[-3:].tolist()[1:] and d[0] != d[-3]
+
+
 def test_sketches_peel_or_fail():
     a, b = np.arange(1, 4000, dtype=np.uint64), np.arange(2000, 6000, dtype=np.uint64)
-    a, b = common.mix64(a), common.mix64(b)
-    assert iblt.Sketch.of(a, 48).minus(iblt.Sketch.of(b, 48)).peel() is None
-    x, y = iblt.difference(a, b, iblt.Sketch.of(a, 48), iblt.Sketch.of(b, 48))
-    assert set(x.tolist()) == set(a.tolist()) - set(b.tolist())
-    assert set(y.tolist()) == set(b.tolist()) - set(a.tolist())
+    d, per = common.mix64(np.concatenate([a, b])), np.array([len(a), len(b)])
+    one, two = np.array([0]), np.array([1])
+    assert not iblt.Sketches.of(d, per, 48).minus(one, two).peel()[3].any()
+    _, found, sign = iblt.differences(d, per, one, two)
+    first, second = set(d[: len(a)].tolist()), set(d[len(a) :].tolist())
+    assert set(found[sign > 0].tolist()) == first - second and set(found[sign < 0].tolist()) == second - first
+    assert len(iblt.differences(d, per, one, one)[0]) == 0
+
+
+def test_large_differences_end():
+    n = 3_000_000
+    d = common.mix64(np.arange(n, dtype=np.uint64))
+    assert len(iblt.differences(d, np.array([n, 0]), np.array([0]), np.array([1]))[0]) == n
+
+
+def test_hot_ids_are_dealt_on(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"{i} " + "x" * 200) for i in range(3000)]
+    parts, n = common.in_ranges(spark.createDataFrame(rows, "doc_id long, text string"), 20_000)
+    got = parts.groupBy("part").agg({"doc_id": "min", "*": "count"}).collect()
+    assert max(r["count(1)"] for r in got) < 400 and max(r.part for r in got) < n
+    spans = sorted((r.part, r.lo is not None, r.lo or 0, r.hi or 0) for r in parts.groupBy("part").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "lo").join(parts.groupBy("part").agg({"doc_id": "max"}).withColumnRenamed("max(doc_id)", "hi"), "part").collect())
+    assert all(a[3] <= b[2] for a, b in zip(spans, spans[1:]))
 
 
 def labelled(n, bad, word):
@@ -253,20 +278,31 @@ def test_packing_bits(bits):
     assert (bitpack.unpack(bitpack.pack(v, bits), len(v), bits) == v).all()
 
 
+def library(name):
+    """Ids by the library as it is, little-endian."""
+    t = tokenizers.Tokenizer.from_file(public_tokenizers.path(name))
+    return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
-def test_cached_encoding_is_the_librarys(name, rows):
-    e = encode.encoder(public_tokenizers.path(name))
-    odd = ["", " ", "  a  b\n\n c", "a\tb c", "don't  stop\n'll we'll", "e ́x", "ΑΣ ΣΑΣ.", "1234 56\n7", "<|endoftext|> x", "a \n b", "日本 語", "thus###", "ﬁ ½ x²!", *(r[1] for r in rows)]
-    assert e.batch(odd) == [e.plain(t or "") for t in odd]
+def test_cached_encoding_is_the_librarys(name, rows, monkeypatch):
+    plain, r = library(name), random.Random(3)
+    odd = ["", " ", "  a  b\n\n c", "a\tb c", "don't  stop\n'll we'll", "e ́x", "ΑΣ ΣΑΣ.", "1234 56\n7", "a <|endoftext|> b", "<|startoftext|>x", "a \n b", "日本 語、", "thus###", "ﬁ ½ x²!", "a\u00a0 b\u3000", "\x1ca \x1f", "İ ıI é, ×,", *(r[1] for r in rows)]
+    odd += ["".join(r.choice("abAB \n\t.,'’é ×  <|>ñÑ1Σ") for _ in range(r.randint(1, 40))) for _ in range(500)]
+    want = [plain(t) for t in odd]
+    assert encode.Encoder(public_tokenizers.path(name)).batch(odd) == want
+    monkeypatch.setattr(encode, "PIECES", 60)  # pieces go and come back
+    e = encode.Encoder(public_tokenizers.path(name))
+    assert [x for a in range(0, len(odd), 7) for x in e.batch(odd[a : a + 7])] == want and len(e.known.key) <= 4000
 
 
 def test_token_files(docs, rows, empty, spark):
     path = public_tokenizers.path("word_bpe_49k.json")
-    e = encode.encoder(path)
+    plain = library("word_bpe_49k.json")
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in bitpack.read_index(bitpack.write(docs, common.scratch_dir(spark) + "/t", path, 1)).collect())
     want, at = [], 0
     for i, t, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = e.plain(t or "") + (1).to_bytes(4, "little")
+        ids = plain(t) + (1).to_bytes(4, "little")
         want.append((at, i, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert got == want
@@ -345,11 +381,11 @@ def test_kneser_ney_sums_to_one():
 
 def test_packing(docs, rows, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    e = encode.encoder(path)
+    plain = library("byte_bpe_50k.json")
     got = packing.pack(docs, path, 2).toPandas()
     want = []
     for r in rows:
-        ids = e.plain(r[1] or "") + (2).to_bytes(4, "little")
+        ids = plain(r[1]) + (2).to_bytes(4, "little")
         want += [(str(r[0]), k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(packing.cut(len(ids) // 4, 1024))]
     ours = [(str(None if x.doc_id != x.doc_id else int(x.doc_id)), x.piece, x.start, x.length, x.ids_crc32) for x in got.itertuples()]
     assert sorted(ours) == sorted(want)
@@ -368,6 +404,20 @@ def test_plan_is_full_where_it_can_be():
         assert [s[0] for s in spans] == [0, *(s[1] for s in spans[:-1])] and spans[-1][1] == k
 
 
+def test_fullest_is_the_fullest():
+    r = random.Random(8)
+    for _ in range(200):
+        room, counts = r.randint(1, 30), np.zeros(31, np.int64)
+        for _ in range(r.randint(0, 6)):
+            counts[r.randint(1, 30)] += r.randint(1, 2)
+        items = [n for n in range(31) for _ in range(counts[n])]
+        sums = {0}
+        for n in items:
+            sums |= {s + n for s in sums if s + n <= room}
+        got = packing.fullest(np.where(np.arange(31) <= room, counts, 0), room)
+        assert sum(got) == max(sums) and not Counter(got) - Counter(items)
+
+
 @pytest.mark.parametrize("bucket", [1, suffix_dedup.BUCKET])
 def test_repeats(spark, docs, rows, empty, bucket):
     r = random.Random(9)
