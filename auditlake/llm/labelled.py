@@ -13,16 +13,32 @@ def held_out(doc_id, fold: int, of: int):
     return C.crc_bucket(doc_id, of) == fold
 
 
+#: Bytes of text that a sample has at most (the first text may be larger).
+SAMPLE_BYTES = 64 << 20
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, fold: int = 2, of: int = 4) -> list[tuple[str, int]]:
-    """(text, label) of at most ``bound`` labelled rows outside the held-out fold, the same ones each time.
+    """(text, label) of at most ``bound`` labelled rows and ``SAMPLE_BYTES`` outside the held-out fold, the same ones each time.
 
-    Labels that are null are left out. Only the ids of the sample are broadcast, ``bound`` rows at most.
+    Labels that are null are left out; of several labels of one id the largest holds.
+    Repeated ids are rows of their own. Only ids, sizes and the sample's texts come to the driver, ``bound`` rows at most.
     """
     picked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y is not null")
     picked = picked.filter(~held_out(F.col("doc_id"), fold, of)).groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").collect()
-    return [(r.text, r.y) for r in sorted(rows, key=lambda r: (C.mix_int(r.doc_id), r.doc_id, r.text))[:bound]]
+    known = texts.join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("text"))
+    first = known.select("doc_id", "h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(bound).collect()
+    total, keep = 0, []
+    for r in first:
+        total += r.size
+        if keep and total > SAMPLE_BYTES:
+            break
+        keep.append((r.doc_id, r.h))
+    if not keep:
+        return []
+    ids = docs.sparkSession.createDataFrame(sorted(set(keep)), "doc_id long, h long")
+    rows = known.join(F.broadcast(ids), ["doc_id", "h"], "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(len(keep)).collect()
+    return [(r.text, r.y) for r in rows]
 
 
 class Adam:

@@ -6,24 +6,28 @@ else too, in the same text or another; strings are judged on the input.
 1. *Anchors.* In every window of ``length`` bytes the substring of ``GRAM`` bytes
    with the smallest hash, the leftmost of equal ones, is its anchor. Equal
    windows have equal anchors at equal places. A text is so cut into runs of
-   windows with one anchor; a run with its windows' bytes is a span.
-2. *Spans.* Spans that occur twice are repeated as a whole: counted with partial
-   sums, so a passage that a third of all texts hold is one row a task. Anchors
-   that occur in one span only have no repeated windows.
-3. *Suffix sort.* What is left are the edges of repeated passages: different
-   spans with one anchor. Their windows are cut into runs of ``RUN`` offsets; the
-   bytes that all windows of a run share (its core) are the bucket. In a bucket
-   the suffixes that start the windows are sorted by mergesort; two suffixes are
-   compared by binary search for their common extension, on prefix polynomial
-   hashes. Neighbours with a common extension of ``length`` or more are repeated,
-   after their bytes have been compared (collision verification).
-   A bucket of more than ``BUCKET`` runs isn't sorted by one task: its windows
-   are counted by two independent hashes in the whole cluster, which is exact
-   too, with partial sums.
+   windows with one anchor; a run with its windows' bytes is a span. Texts above
+   ``PART`` bytes are cut into runs in parts that overlap by a window.
+2. *Spans.* Equal spans meet by a cryptographic digest of 128 bits, with partial sums,
+   so that a passage that a third of all texts hold is one row a task. The digest
+   only routes: two occurrences of each span that occurs twice are suffix-sorted,
+   their common extension is found by binary search on prefix polynomial hashes, and
+   their bytes are compared (collision verification). Spans so found repeated are
+   repeated as a whole, wherever they occur.
+3. *Edges.* Anchors with different spans are the edges of repeated passages. One
+   occurrence of each such span is cut into runs of ``RUN`` offsets; the bytes that all
+   windows of a run share (its core) are the bucket. In a bucket the suffixes that
+   start the windows are sorted by mergesort, compared as above. Neighbours with a
+   common extension of ``length`` or more are repeated, after verification.
+   A bucket of more than ``BUCKET`` runs is split by the longest cores there are, whole
+   windows: these meet by digest as the spans do, and two of each are sorted and
+   compared, so that no task gets a hot bucket.
 
 Defined cases: null and empty texts and texts shorter than ``length`` keep all
 bytes; a text that occurs twice loses all its bytes in both places; repeated
-rows are texts that occur twice; an empty table gives an empty result.
+rows are texts that occur twice; very long texts are like all others; equal texts
+(ties) lose the same bytes; an empty table gives an empty result. remove_repeats()
+reads id and text alone; without_repeats() keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH, GRAM, RUN, BUCKET = 400, 100, 32, 256
+#: Bytes of a text that are worked on at once, and least length of what a passage of over 50 words has.
+PART, PASSAGE = 4 << 20, 200
 _BASES = (0x2545F4914F6CDD1D, 0x369DEA0F31A53F85)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _PLACE = np.uint64((1 << 26) - 1)
@@ -61,8 +67,12 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
 
 
-def _mixed(p: Prefix, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return C.signed(C.mix64(p.of(start, end) + (end - start).astype(np.uint64)))
+def _digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray, salt: list[bytes] | None = None) -> pa.Array:
+    """128 bits of a cryptographic digest of each span of bytes."""
+    raw, of = memoryview(buf), hashlib.blake2b
+    if salt is None:
+        return pa.array([of(raw[a:z], digest_size=16).digest() for a, z in zip(start.tolist(), end.tolist())], pa.binary())
+    return pa.array([of(raw[a:z], digest_size=16, salt=s).digest() for a, z, s in zip(start.tolist(), end.tolist(), salt)], pa.binary())
 
 
 def _least(v: np.ndarray, width: int) -> np.ndarray:
@@ -99,41 +109,53 @@ def runs_of_windows(buf: np.ndarray, off: np.ndarray, length: int, gram: int) ->
     return text[at], window[at], window[last], a[at]
 
 
-def _text_keys(b: pa.RecordBatch) -> np.ndarray:
+def _text_keys(b: pa.RecordBatch) -> pa.Array:
     """A key for each row from its id and its text: equal rows share it."""
     out = [
-        int.from_bytes(hashlib.blake2b(t.as_buffer() if t.is_valid else b"", digest_size=8, key=str(d).encode()).digest(), "little", signed=True)
+        hashlib.blake2b(t.as_buffer() if t.is_valid else b"", digest_size=16, key=str(d).encode()).digest()
         for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.large_binary()))
     ]
-    return np.array(out, np.int64)
+    return pa.array(out, pa.binary())
 
 
 def _spans(length: int, gram: int):
+    def found(keys: pa.Array, buf: np.ndarray, off: np.ndarray, start: int) -> pa.RecordBatch | None:
+        text, low, high, anchor = runs_of_windows(buf, off, length, gram)
+        if not len(text):
+            return None
+        base = off[text] - start
+        grams = C.signed(C.mix64(Prefix(buf).of(anchor, anchor + gram)))
+        cols = [pa.array(x - base, pa.int32()) for x in (low, high, anchor)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(text)), *cols, pa.array(grams), _digests(buf, low, high + length)], names=_SPAN_NAMES)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
             buf, off = C.joined(b.column("text"))
-            text, low, high, anchor = runs_of_windows(buf, off, length, gram)
-            if not len(text):
-                continue
-            p, q, base = Prefix(buf), Prefix(buf, 1), off[text]
-            cols = (_text_keys(b)[text], low - base, high - base, anchor - base, _mixed(p, anchor, anchor + gram), _mixed(p, low, high + length), _mixed(q, low, high + length))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _SPAN_TYPES)], names=_SPAN_NAMES)
+            keys = _text_keys(b)
+            pieces = [(keys, buf, off, 0)]
+            if len(buf) > PART:  # with a very long text: row by row, windows start in one part each
+                rows_ = ((i, buf[off[i] : off[i + 1] - 1]) for i in range(b.num_rows))
+                pieces = ((keys.slice(i, 1), np.append(t[a : a + PART + length - 1], np.uint8(0)), a) for i, t in rows_ for a in range(0, max(len(t), 1), PART))
+                pieces = ((k, x, np.array([0, len(x)]), a) for k, x, a in pieces)
+            for keys, x, o, a in pieces:
+                out = found(keys, x, o, a)
+                if out is not None:
+                    yield out
 
     return run
 
 
-_SPAN_NAMES = ["doc", "low", "high", "anchor", "gram", "h1", "h2"]
-_SPAN_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-_SPAN_SCHEMA = "doc long, low int, high int, anchor int, gram long, h1 long, h2 long"
+_SPAN_NAMES = ["doc", "low", "high", "anchor", "gram", "h"]
+_SPAN_SCHEMA = "doc binary, low int, high int, anchor int, gram long, h binary"
 
 
 # --------------------------------------------------------------------------- suffix sorting
 
 
-def common_extension(p: Prefix, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+def common_extension(p: Prefix, a: np.ndarray, b: np.ndarray, limit: int | np.ndarray) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, up to ``limit``: binary search on prefix hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), limit, np.int64)
-    for _ in range(int(limit).bit_length()):
+    low, high = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64) + limit
+    for _ in range(int(high.max(initial=0)).bit_length()):
         mid = (low + high + 1) >> 1
         same = p.of(a, a + mid) == p.of(b, b + mid)
         low, high = np.where(same, mid, low), np.where(same, high, np.minimum(high, mid - 1))
@@ -206,19 +228,35 @@ def repeated(buf: np.ndarray, starts: np.ndarray, segment: np.ndarray, length: i
     return out
 
 
+def same(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, segment: np.ndarray, length: int) -> np.ndarray:
+    """Whether all strings of each segment (two, of ``sizes`` bytes, ``length`` at least) are one: sorted, extended, and compared byte by byte."""
+    p = Prefix(buf)
+    order = suffix_sort(buf, p, starts, segment, length)
+    a, b = order[:-1], order[1:]
+    ok = np.ones(int(segment.max(initial=-1)) + 1, bool)
+    pair = np.flatnonzero(segment[a] == segment[b])
+    a, b = a[pair], b[pair]
+    limit = np.minimum(sizes[a], sizes[b])
+    equal = (sizes[a] == sizes[b]) & (common_extension(p, starts[a], starts[b], limit) >= limit)
+    raw = memoryview(buf)
+    equal[equal] = [raw[x : x + n] == raw[y : y + n] for x, y, n in zip(starts[a[equal]].tolist(), starts[b[equal]].tolist(), limit[equal].tolist())]
+    ok[segment[a[~equal]]] = False
+    return ok
+
+
 # --------------------------------------------------------------------------- edges of repeated passages
 
 
 def _cores(length: int, run_length: int):
-    """Runs of windows with the hashes of their cores, from texts and their open spans."""
+    """Runs of windows with the digests of their cores, from texts and their open spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
             buf, off = C.joined(b.column("text"))
             spans = b.column("spans")
             flat = spans.flatten()
-            base = np.repeat(off[:-1], np.diff(spans.offsets.to_numpy()))
-            docs = np.repeat(b.column("doc").to_numpy(), np.diff(spans.offsets.to_numpy()))
+            row = np.repeat(np.arange(b.num_rows), np.diff(spans.offsets.to_numpy()))
+            base = off[row]
             low, high, anchor, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("low", "high", "anchor", "n"))
             least, most = (anchor - high) // run_length, (anchor - low) // run_length  # runs of offsets from the window's start to its anchor
             each = most - least + 1
@@ -226,13 +264,13 @@ def _cores(length: int, run_length: int):
             k = least[i] + np.arange(len(i)) - (np.cumsum(each) - each)[i]
             core_a, core_z = anchor[i] - k * run_length, anchor[i] - k * run_length - run_length + 1 + length
             w_low, w_high = np.maximum(low[i], core_a - run_length + 1), np.minimum(high[i], core_a)
-            p, q = Prefix(buf), Prefix(buf, 1)
+            salt = [x.to_bytes(8, "little", signed=True) for x in k.tolist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(docs[i], pa.int64()), pa.array(w_low, pa.int32()), pa.array(w_high, pa.int32()), pa.array(anchor[i], pa.int32()), pa.array(n[i] > 1, pa.bool_()),
-                    pa.array(_mixed(p, base[i] + core_a, base[i] + core_z) + k, pa.int64()), pa.array(_mixed(q, base[i] + core_a, base[i] + core_z), pa.int64()),
+                    b.column("doc").take(pa.array(row[i])), pa.array(w_low, pa.int32()), pa.array(w_high, pa.int32()), pa.array(anchor[i], pa.int32()), pa.array(n[i] > 1, pa.bool_()),
+                    _digests(buf, base[i] + core_a, base[i] + core_z, salt),
                 ],
-                names=["doc", "low", "high", "anchor", "whole", "c1", "c2"],
+                names=["doc", "low", "high", "anchor", "whole", "core"],
             )
 
     return run
@@ -243,18 +281,72 @@ def _cut_out(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
-            rows = []
-            for doc, text, runs in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.large_binary()).to_pylist(), b.column("runs").to_pylist()):
-                rows += [(doc, r["low"], r["high"], r["anchor"], r["whole"], r["c1"], r["c2"], r["k"], text[r["low"] : r["high"] + length]) for r in runs]
-            cols = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _CUT_TYPES)], names=_CUT_NAMES)
+            buf, off = C.joined(b.column("text"))
+            raw, runs = buf.tobytes(), b.column("runs")
+            flat = runs.flatten()
+            row = np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
+            low, high = (off[row] + flat.field(k).to_numpy().astype(np.int64) for k in ("low", "high"))
+            for c in range(0, len(row), 2048):
+                part = slice(c, c + 2048)
+                bytes_ = pa.array([raw[x:z] for x, z in zip(low[part].tolist(), (high[part] + length).tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row[part])), *(flat.field(k)[part] for k in _CUT_NAMES[1:-1]), bytes_], names=_CUT_NAMES)
 
     return run
 
 
-_CUT_NAMES = ["doc", "low", "high", "anchor", "whole", "c1", "c2", "k", "bytes"]
-_CUT_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-_CUT_SCHEMA = "doc long, low int, high int, anchor int, whole boolean, c1 long, c2 long, k long, bytes binary"
+_CUT_NAMES = ["doc", "low", "high", "anchor", "whole", "core", "k", "bytes"]
+_CUT_SCHEMA = "doc binary, low int, high int, anchor int, whole boolean, core binary, k long, bytes binary"
+
+
+def _edges(keys: list, before) -> list[int]:
+    """Places where another key than the one before begins."""
+    return [i for i, (x, y) in enumerate(zip(keys, [before, *keys])) if x != y]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of whole buckets, about a block each, from rows sorted by ``key``."""
+    held, size, last = [], 0, None
+    for b in batches:
+        keys, a = b.column(key).to_pylist(), 0
+        for z in _edges(keys, last):
+            if z > a:
+                held.append(b.slice(a, z - a))
+                size += pc.sum(pc.binary_length(held[-1].column("bytes"))).as_py()
+            if size > C.BLOCK_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            a = z
+        if a < b.num_rows:
+            held.append(b.slice(a))
+            size += pc.sum(pc.binary_length(held[-1].column("bytes"))).as_py()
+            last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    C.trimmed()
+
+
+def _numbered(keys: list) -> np.ndarray:
+    out, n, last = np.zeros(len(keys), np.int64), -1, None
+    for i, x in enumerate(keys):
+        if i == 0 or x != last:
+            n, last = n + 1, x
+        out[i] = n
+    return out
+
+
+def _verified(length: int):
+    """Keys of the groups whose two occurrences are one string; rows sorted by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches, "h"):
+            buf, off = C.joined(t.column("bytes"), b"\0")
+            keys = t.column("h").to_pylist()
+            segment = _numbered(keys)
+            ok = same(buf, off[:-1], np.diff(off) - 1, segment, length)
+            first = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in first[ok].tolist()], pa.binary())], names=["h"])
+
+    return run
 
 
 def _windows(b: pa.RecordBatch, length: int):
@@ -267,68 +359,39 @@ def _windows(b: pa.RecordBatch, length: int):
     return buf, off[row] + step, row, anchor[row] - low[row] - step, low[row] + step
 
 
-def _found(docs: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
-    """Repeated windows as (doc, low, high) of runs of neighbours."""
-    order = np.lexsort((window, docs))
-    docs, window = docs[order], window[order]
-    new = np.r_[True, (docs[1:] != docs[:-1]) | (window[1:] > window[:-1] + 1)] if len(docs) else np.zeros(0, bool)
+def _found(docs: pa.Array, row: np.ndarray, window: np.ndarray) -> pa.RecordBatch:
+    """Repeated windows as (doc, low, high) of runs of neighbours; ``row``: places in ``docs``."""
+    order = np.lexsort((window, row))
+    row, window = row[order], window[order]
+    new = np.r_[True, (row[1:] != row[:-1]) | (window[1:] > window[:-1] + 1)] if len(row) else np.zeros(0, bool)
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(docs)) - 1 if len(docs) else at
-    return pa.RecordBatch.from_arrays([pa.array(docs[at], pa.int64()), pa.array(window[at], pa.int32()), pa.array(window[last], pa.int32())], names=["doc", "low", "high"])
+    last = np.append(at[1:], len(row)) - 1 if len(row) else at
+    return pa.RecordBatch.from_arrays([docs.take(pa.array(row[at], pa.int64())), pa.array(window[at], pa.int32()), pa.array(window[last], pa.int32())], names=["doc", "low", "high"])
 
 
 def _sorted_buckets(length: int):
     """Repeated windows of buckets; the rows of a bucket come one after the other."""
 
-    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        buf, start, row, offset, window = _windows(t, length)
-        c1, c2 = t.column("c1").to_numpy()[row], t.column("c2").to_numpy()[row]
-        order = np.lexsort((offset, c2, c1))
-        start, row, offset, window, c1, c2 = (x[order] for x in (start, row, offset, window, c1, c2))
-        new = np.r_[True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (offset[1:] != offset[:-1])]
-        twice = repeated(buf, start, np.cumsum(new), length)
-        twice &= ~t.column("whole").to_numpy(zero_copy_only=False)[row]
-        return _found(t.column("doc").to_numpy()[row[twice]], window[twice])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, bucket = [], 0, None
-        for b in batches:
-            c1, c2 = b.column("c1").to_numpy(), b.column("c2").to_numpy()
-            edge = np.flatnonzero(np.r_[bucket != (c1[0], c2[0]), (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]) if len(c1) else []
-            a = 0
-            for z in edge:
-                if size > C.BLOCK_BYTES:
-                    if z > a:
-                        held.append(b.slice(a, z - a))
-                    yield work(held)
-                    held, size, a = [], 0, int(z)
-                elif z > a:
-                    held.append(b.slice(a, z - a))
-                    size += pc.sum(pc.binary_length(held[-1].column("bytes"))).as_py()
-                    a = int(z)
-            if a < b.num_rows:
-                held.append(b.slice(a))
-                size += pc.sum(pc.binary_length(held[-1].column("bytes"))).as_py() or 0
-                bucket = (c1[-1], c2[-1])
-        if held:
-            yield work(held)
+        for t in _gathered(batches, "core"):
+            buf, start, row, offset, window = _windows(t, length)
+            core = _numbered(t.column("core").to_pylist())[row]
+            order = np.lexsort((offset, core))
+            start, row, offset, window, core = (x[order] for x in (start, row, offset, window, core))
+            new = np.r_[True, (core[1:] != core[:-1]) | (offset[1:] != offset[:-1])]
+            twice = repeated(buf, start, np.cumsum(new), length)
+            twice &= ~t.column("whole").to_numpy(zero_copy_only=False)[row]
+            yield _found(t.column("doc"), row[twice], window[twice])
 
     return run
 
 
-def _window_hashes(length: int):
+def _window_digests(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.blocks(batches, "bytes"):
-            buf, start, row, offset, window = _windows(b, length)
-            p, q = Prefix(buf), Prefix(buf, 1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.column("doc").to_numpy()[row]), pa.array(window, pa.int32()), pa.array(b.column("whole").to_numpy(zero_copy_only=False)[row]),
-                    pa.array(_mixed(p, start, start + length)), pa.array(_mixed(q, start, start + length)),
-                ],
-                names=["doc", "window", "whole", "h1", "h2"],
-            )
+        for b in C.blocks(batches, "bytes", C.BLOCK_BYTES // 8):
+            buf, start, row, _, window = _windows(b, length)
+            whole = pa.array(b.column("whole").to_numpy(zero_copy_only=False)[row])
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(window, pa.int32()), whole, _digests(buf, start, start + length)], names=["doc", "low", "whole", "h"])
 
     return run
 
@@ -338,35 +401,50 @@ def _window_hashes(length: int):
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, run_length: int = RUN, bucket: int = BUCKET) -> DataFrame:
     """(doc, low, high): first and last start of runs of repeated windows; texts(doc_id, text), doc: the key of a row."""
+    place = F.struct("doc", "low", "high", "anchor")
     spans_all = C.saved(texts.mapInArrow(_spans(length, gram), _SPAN_SCHEMA), "spans")
-    spans = C.saved(spans_all.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "low", "high", "anchor")).alias("at"), F.first("gram").alias("gram")), "distinct")
-    whole = spans.filter("n > 1").select("h1", "h2")
-    found = C.saved(spans_all.join(whole, ["h1", "h2"], "left_semi").select("doc", "low", "high"), "whole")
-
+    spans = C.saved(spans_all.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max(place).alias("other"), F.first("gram").alias("gram")), "distinct")
     open_ = spans.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1").select("gram")
-    edges = spans.join(open_, "gram", "left_semi").select("at.*", "n")
+    edges = C.saved(spans.join(open_, "gram", "left_semi").select("at.*", "n"), "edges")
+    twice = spans.filter("n > 1").select("h", "at", "other")
     by_text = edges.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "anchor", "n")).alias("spans"))
-    keyed = _keyed(texts)
-    some = C.saved(keyed.join(by_text, "doc").dropDuplicates(["doc"]), "open")
-    runs = C.saved(some.mapInArrow(_cores(length, run_length), "doc long, low int, high int, anchor int, whole boolean, c1 long, c2 long"), "runs")
-    shared = runs.groupBy("c1", "c2").agg(F.count("*").alias("k"), F.min("whole").alias("all_whole")).filter("k > 1 and not all_whole").select("c1", "c2", "k")
-    left = runs.join(shared, ["c1", "c2"])
-    cut = some.select("doc", "text").join(left.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "anchor", "whole", "c1", "c2", "k")).alias("runs")), "doc")
-    cut = C.saved(cut.mapInArrow(_cut_out(length), _CUT_SCHEMA), "cut")
-
-    small = cut.filter(F.col("k") <= bucket).repartition("c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(_sorted_buckets(length), "doc long, low int, high int")
-    windows = C.saved(cut.filter(F.col("k") > bucket).mapInArrow(_window_hashes(length), "doc long, window int, whole boolean, h1 long, h2 long"), "windows")
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    large = windows.filter("not whole").join(twice, ["h1", "h2"], "left_semi").select("doc", F.col("window").alias("low"), F.col("window").alias("high"))
-    return found.unionByName(small).unionByName(large)
+    # Texts of the occurrences that are looked at: one of an edge, two of a span that occurs twice.
+    needed = edges.select("doc").unionByName(twice.select("at.doc")).unionByName(twice.select("other.doc")).distinct()
+    some = C.saved(_keyed(texts).join(needed, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), "some")
+
+    def verified(groups: DataFrame) -> DataFrame:
+        """h of the groups(h, at, other) whose two occurrences have equal bytes; one place alone is equal to itself."""
+        two = groups.select("h", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"{x}.doc").alias("doc"), F.col(f"{x}.low").alias("low"), F.col(f"{x}.high").alias("high")) for x in ("at", "other"))))).alias("x")).select("h", "x.*")
+        by = two.groupBy("doc").agg(F.collect_list(F.struct("low", "high", F.lit(0).alias("anchor"), F.lit(True).alias("whole"), F.col("h").alias("core"), F.lit(0).cast("long").alias("k"))).alias("runs"))
+        cut_ = some.join(by, "doc").select("doc", "text", "runs").mapInArrow(_cut_out(length), _CUT_SCHEMA).select(F.col("core").alias("h"), "bytes")
+        return C.saved(cut_.repartition("h").sortWithinPartitions("h").mapInArrow(_verified(length), "h binary"), "verified")
+
+    found = C.saved(spans_all.join(verified(twice), "h", "left_semi").select("doc", "low", "high"), "whole")
+    runs = C.saved(some.join(by_text, "doc").mapInArrow(_cores(length, run_length), "doc binary, low int, high int, anchor int, whole boolean, core binary"), "runs")
+    C.dropped(spans_all, spans)
+    shared = runs.groupBy("core").agg(F.count("*").alias("k"), F.min("whole").alias("all_whole")).filter("k > 1 and not all_whole").select("core", "k")
+    left = runs.join(shared, "core")
+    cut = some.join(left.groupBy("doc").agg(F.collect_list(F.struct("low", "high", "anchor", "whole", "core", "k")).alias("runs")), "doc")
+    cut = C.saved(cut.select("doc", "text", "runs").mapInArrow(_cut_out(length), _CUT_SCHEMA), "cut")
+    small = C.saved(cut.filter(F.col("k") <= bucket).repartition("core").sortWithinPartitions("core").mapInArrow(_sorted_buckets(length), "doc binary, low int, high int"), "small")
+    out = found.unionByName(small)
+    if cut.filter(F.col("k") > bucket).limit(1).count():
+        windows = C.saved(cut.filter(F.col("k") > bucket).mapInArrow(_window_digests(length), "doc binary, low int, whole boolean, h binary"), "windows")
+        place = F.struct("doc", "low", F.col("low").alias("high"))
+        groups = C.saved(windows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max(place).alias("other")).filter("n > 1"), "groups")
+        large = C.saved(windows.filter("not whole").join(verified(groups), "h", "left_semi").select("doc", "low", F.col("low").alias("high")), "large")
+        C.dropped(windows, groups)
+        out = out.unionByName(large)
+    C.dropped(edges, some, runs, cut)
+    return out
 
 
 def _keyed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(_text_keys(b)), b.column("text")], names=["doc", "text"])
+            yield pa.RecordBatch.from_arrays([_text_keys(b), b.column("text")], names=["doc", "text"])
 
-    return texts.mapInArrow(run, "doc long, text string")
+    return texts.mapInArrow(run, "doc binary, text string")
 
 
 def covered(low: np.ndarray, high: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -389,7 +467,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_text_keys(b)), b.column("text")], names=["doc_id", "doc", "text"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _text_keys(b), b.column("text")], names=["doc_id", "doc", "text"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.blocks(batches):
@@ -402,7 +480,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b"".join(text[a:z] for a, z in zip([0, *(z for _, z in gone)], [*(a for a, _ in gone), len(text)])))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_bytes", "kept", "spans"])
 
-    both = texts.mapInArrow(keyed, "doc_id long, doc long, text string").join(windows, "doc", "left").select("doc_id", "text", "windows")
+    both = texts.mapInArrow(keyed, "doc_id long, doc binary, text string").join(windows, "doc", "left").select("doc_id", "text", "windows")
     return both.mapInArrow(cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
 
@@ -418,15 +496,16 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     column is there, is counted anew. Rows whose text is all repeated stay, empty.
     """
     texts = _slim(docs, id_col, text_col)
-    windows = repeated_windows(texts, length, **options).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("_windows")).withColumnRenamed("doc", "_windows_of")
+    of, found, key = C.free_names(docs, "windows_of", "windows", "row_key")
+    windows = repeated_windows(texts, length, **options).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias(found)).withColumnRenamed("doc", of)
 
-    def key(ids: pd.Series, values: pd.Series) -> pd.Series:
-        b = pa.RecordBatch.from_arrays([pa.array([None if pd.isna(i) else int(i) for i in ids], pa.int64()), pa.array(values, pa.string(), from_pandas=True)], names=["doc_id", "text"])
-        return pd.Series(_text_keys(b))
+    def keys(ids: pd.Series, values: pd.Series) -> pd.Series:
+        b = pa.RecordBatch.from_arrays([pa.array([None if pd.isna(i) else int(i) for i in ids], pa.int64()), pa.array(values, pa.large_string(), from_pandas=True)], names=["doc_id", "text"])
+        return pd.Series(_text_keys(b).to_pylist())
 
-    def cut(values: pd.Series, found: pd.Series) -> pd.Series:
+    def cut(values: pd.Series, windows_: pd.Series) -> pd.Series:
         out = []
-        for text, w in zip(values, found):
+        for text, w in zip(values, windows_):
             if w is not None and len(w) and text:
                 raw = text.encode()
                 gone = covered(np.array([x["low"] for x in w], np.int64), np.array([x["high"] for x in w], np.int64), length)
@@ -434,10 +513,11 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(text)
         return pd.Series(out, dtype=object)
 
+    # Ids as text: a column of numbers with nulls would reach Python as floating point.
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    named = docs.withColumn("_key", F.pandas_udf(key, "long")(F.col(id_col).cast("long"), text))
-    joined = named.join(windows, F.col("_key") == F.col("_windows_of"), "left")
-    out = joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col).cast("string"), F.col("_windows")))
-    if "n_chars" in docs.columns:
+    named = docs.withColumn(key, F.pandas_udf(keys, "binary")(F.col(id_col).cast("long").cast("string"), text))
+    joined = named.join(windows, F.col(key) == F.col(of), "left")
+    out = joined.withColumn(text_col, F.pandas_udf(cut, "string")(F.col(text_col).cast("string"), F.col(found)))
+    if "n_chars" in docs.columns and "n_chars" not in (id_col, text_col):
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
