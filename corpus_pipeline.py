@@ -1,5 +1,12 @@
 """From raw documents to packed sequences: the stages of a training corpus.
 
+Defined cases, for every stage: null and empty texts go through as empty ones (the
+quality classifier decides on them like on others; all of them are copies of each
+other in near_dedup); null ids are ids like others; repeated rows are copies, of which
+one stays; very long texts are worked on whole; columns besides those of ``documents``
+are kept but by the last stage, whatever their names; ties go to the smallest id; an
+empty table gives an empty one.
+
 Each stage is a function (spark, docs, sf_dir) -> DataFrame; all but the last give
 back the columns of ``documents``. The result of a stage is written as Parquet and
 read again as the next one's ``docs``.
@@ -24,8 +31,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of strings of 400 bytes that occur elsewhere."""
-    return suffix_dedup.without_repeats(docs)
+    """Texts without the bytes of strings that occur elsewhere, of the length that any passage of over 50 words has."""
+    return suffix_dedup.without_repeats(docs, length=suffix_dedup.PASSAGE, gram=suffix_dedup.PASSAGE // 4)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
