@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as K
+from .. import words as L
 from ..functions.columns import share
 
 STATUSES = ["E", "T", "A", "N"]
@@ -33,12 +34,17 @@ def by_class(v: DataFrame) -> DataFrame:
 
 
 def why_not(v: DataFrame) -> DataFrame:
-    """Of every document, how many criteria are not specified by the model, unrated, or set by a rule."""
-    return model_status(v).groupBy("doc_id").agg(
-        F.count_if((F.col("model_status") == "N") & (F.col("p") >= 0.5)).alias("by_model"),
-        F.count_if((F.col("model_status") == "N") & (F.col("p") < 0.5)).alias("no_candidate"),
-        F.count_if(F.col("model_status").isNull()).alias("error"),
-    )
+    """Of every document, how many criteria are not specified by the model, without a candidate, or unrated for another cause."""
+    return v.groupBy("doc_id").agg(
+        F.count_if((F.col("status") == "N") & (F.col("cause") == "")).alias("by_model"), F.count_if(F.col("cause") == "kein Kandidat").alias("no_candidate"), F.count_if(~F.col("cause").isin("", "kein Kandidat")).alias("error"),
+    )
+
+
+def failures(v: DataFrame) -> DataFrame:
+    """Of every document, how many calls found no connection, how many verdicts are unrated, and how many had no candidate."""
+    return v.groupBy("doc_id").agg(
+        F.count_if(F.contains(F.lower("cause"), F.lit(L.CONNECTION_FAILED))).alias("connection"), F.count_if(~F.col("cause").isin("", "kein Kandidat")).alias("unrated"), F.count_if(F.col("cause") == "kein Kandidat").alias("no_candidate"),
+    )
 
 
 def confusion(v: DataFrame) -> DataFrame:
@@ -90,37 +96,52 @@ def damage(v: DataFrame) -> DataFrame:
 
 
 def damage_classes(v: DataFrame) -> DataFrame:
-    """Damage by kind of error."""
-    kind = F.when(F.col("ref") == F.col("found"), "right").when((F.col("ref") == "A") & (F.col("found") != "A"), "missed deviation").when((F.col("found") == "A"), "false deviation").when((F.col("ref") == "N") | (F.col("found") == "N"), "regulated or not").otherwise("degree")
+    """(kind, n, points, share): damage by kind of error, of kinds that occur; share of all damage."""
+    kinds = [(cell[0], cell[1], kind) for kind, cells_ in K.ERROR_KINDS.items() for cell in cells_]
+    table = v.sparkSession.createDataFrame(kinds, "ref string, found string, kind string")
     cells = model_status(v).filter("ref is not null and model_status is not null").groupBy("ref", F.col("model_status").alias("found")).agg(F.count("*").alias("n"))
-    g = cells.join(F.broadcast(weights(v)), ["ref", "found"]).groupBy(kind.alias("kind")).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("weight")), 2).alias("points"))
-    return g.filter("n > 0")
+    g = cells.join(F.broadcast(weights(v)), ["ref", "found"]).join(F.broadcast(table), ["ref", "found"]).groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("points"))
+    total = g.agg(F.sum("points").alias("total"))  # five rows at most
+    return g.crossJoin(F.broadcast(total)).select("kind", "n", F.round("points", 2).alias("points"), F.round(F.coalesce(F.try_divide("points", "total"), F.lit(0.0)), 6).alias("share"))
 
 
 def damage_baselines(v: DataFrame) -> DataFrame:
-    """Damage if every verdict were the same."""
-    refs = v.filter("ref is not null").groupBy("ref").agg(F.count("*").alias("n"))
-    return refs.join(F.broadcast(weights(v)), "ref").groupBy("found").agg(F.round(F.sum(F.col("n") * F.col("weight")), 6).alias("damage"))
+    """(found, damage, goodness): damage if every verdict were the same, and what it is short of the worst case."""
+    w = weights(v)
+    worst = w.groupBy("ref").agg(F.max("weight").alias("worst"))
+    refs = model_status(v).filter("ref is not null and model_status is not null").groupBy("ref").agg(F.count("*").alias("n"))
+    g = refs.join(F.broadcast(w), "ref").join(F.broadcast(worst), "ref").groupBy("found").agg(F.sum(F.col("n") * F.col("weight")).alias("d"), F.sum(F.col("n") * F.col("worst")).alias("w"))
+    return g.select("found", F.round("d", 6).alias("damage"), F.round(1 - F.coalesce(F.try_divide("d", "w"), F.lit(0.0)), 6).alias("goodness"))
 
 
 def sensitivity(v: DataFrame) -> DataFrame:
-    """How three strategies rank when deviations and missing rules count for more or less; the weights stay up to 1."""
+    """(fa, fn, ranking): how three strategies rank by goodness when deviations (row A) and invented rules (row N) count for more or less; weights stay up to 1."""
     spark = v.sparkSession
-    factors = spark.createDataFrame([(a, n) for a in (0.5, 0.75, 1.0, 1.25, 1.5) for n in (0.5, 0.75, 1.0, 1.25, 1.5)], "fa double, fn double")
+    factors = spark.createDataFrame([(a, n) for a in K.EMPHASIS for n in K.EMPHASIS], "fa double, fn double")
     m = model_status(v).filter("ref is not null and model_status is not null")
     runs = m.select("ref", F.explode(F.array(*(F.struct(F.lit(name).alias("run"), F.col(c).alias("found")) for name, c in (("a model", "model_status"), ("b other", "other"))), F.struct(F.lit("c always E").alias("run"), F.lit("E").alias("found")))).alias("r"))
     cells = runs.groupBy("ref", "r.run", "r.found").agg(F.count("*").alias("n"))
     scaled = F.least(F.lit(1.0), F.col("weight") * F.when(F.col("ref") == "A", F.col("fa")).when(F.col("ref") == "N", F.col("fn")).otherwise(1.0))
     d = cells.join(F.broadcast(weights(v)), ["ref", "found"]).crossJoin(F.broadcast(factors)).groupBy("fa", "fn", "run").agg(F.round(F.sum(F.col("n") * scaled), 6).alias("damage"))
+    # All runs have the same references, so less damage is more goodness.
     return d.groupBy("fa", "fn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("damage", "run"))), lambda x: x["run"]), " < ").alias("ranking"))
 
 
+def stability(v: DataFrame) -> DataFrame:
+    """(variants, rankings, stable, winners): whether the ranking is the same under all emphases, and how often each strategy is first."""
+    r = sensitivity(v)
+    first = r.groupBy(F.substring_index("ranking", " < ", 1).alias("run")).agg(F.count("*").alias("n")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "run", F.col("n").cast("string")))), ", ").alias("winners"))
+    return r.agg(F.count("*").alias("variants"), F.count_distinct("ranking").alias("rankings")).withColumn("stable", F.col("rankings") == 1).crossJoin(first)
+
+
 def deviation_share(v: DataFrame) -> DataFrame:
-    """(doc_id, nr, share_a): share of A among the other documents' references, documents left out one at a time; 0 without others."""
-    w = Window.partitionBy("nr")
-    a, n = F.count_if(F.col("ref") == "A").over(w), F.count("*").over(w)
-    own = F.when(F.col("ref") == "A", 1).otherwise(0)
-    return v.filter("ref is not null").select("doc_id", "nr", F.round(F.coalesce(F.try_divide((a - own).cast("double"), n - 1), F.lit(0.0)), 4).alias("share_a"))
+    """(doc_id, nr, share_a): share of A among the other documents' references, documents left out one at a time; 0 without others.
+
+    Sums by criterion are broadcast (a row a criterion), so no criterion's verdicts meet in one task.
+    """
+    r = v.filter("ref is not null").select("doc_id", "nr", F.when(F.col("ref") == "A", 1).otherwise(0).alias("own"))
+    sums = r.groupBy("nr").agg(F.sum("own").alias("a"), F.count("*").alias("n"))
+    return r.join(F.broadcast(sums), "nr").select("doc_id", "nr", F.round(F.coalesce(F.try_divide((F.col("a") - F.col("own")).cast("double"), F.col("n") - 1), F.lit(0.0)), 4).alias("share_a"))
 
 
 def placement(v: DataFrame) -> DataFrame:
@@ -147,49 +168,6 @@ def class_from_frequency(v: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(m)).select("nr", "n", "m", k.alias("klass"))
 
 
-def violations(v: DataFrame, criteria: int = K.CRITERIA) -> DataFrame:
-    """(doc_id, nr, rule): criteria that are missing, not rated, or flagged without a status before."""
-    spark = v.sparkSession
-    docs, all_ = v.select("doc_id").distinct(), spark.range(criteria).select(F.col("id").cast("int").alias("nr"))
-    missing = docs.crossJoin(F.broadcast(all_)).join(v, ["doc_id", "nr"], "left_anti").select("doc_id", "nr", F.lit("missing").alias("rule"))
-    unrated = v.filter("status is null").select("doc_id", "nr", F.lit("unrated").alias("rule"))
-    odd = v.filter("status = 'N' and p >= 0.9").select("doc_id", "nr", F.lit("N with a probability").alias("rule"))
-    return missing.unionByName(unrated).unionByName(odd)
-
-
-def signs(v: DataFrame) -> DataFrame:
-    """Adds the signs of a deviation that each verdict shows, those without a verdict have none."""
-    w = Window.partitionBy("nr")
-    rate = F.coalesce(F.try_divide(F.count_if(F.col("ref") == "A").over(w).cast("double"), F.count("ref").over(w)), F.lit(0.0))
-    s = F.array(
-        F.when(F.col("status") == "A", F.lit("model")),
-        F.when(F.col("status").isin("E", "T") & (rate >= K.ACCUMULATION), F.lit("accumulation")),
-        F.when((F.col("status") == "N") & (F.col("p") >= 0.8), F.lit("hint")),
-    )
-    return v.withColumn("signs", F.filter(s, lambda x: x.isNotNull()))
-
-
-def top_flags(v: DataFrame, n: int = K.TOP_FLAGS) -> DataFrame:
-    """(doc_id, nr, rank, p): of every document the conforming verdicts most likely to deviate that no sign has flagged."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("p"), "nr")
-    left = signs(v).filter(F.col("status").isin("E", "T") & (F.col("p") > 0) & (F.size("signs") == 0))
-    return left.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).select("doc_id", "nr", "rank", "p")
-
-
-# The signs that count at each level.
-LEVELS = {"off": [], "targeted": ["model", "hint"], "thorough": ["model", "hint", "accumulation", "probability"]}
-
-
-def flagged(v: DataFrame, level: str = "thorough") -> DataFrame:
-    """(doc_id, nr, status, status_model, origin): signs of the level set the status to A and keep the model's."""
-    top = top_flags(v).select("doc_id", "nr", F.lit(True).alias("top"))
-    s = signs(v).join(top, ["doc_id", "nr"], "left")
-    all_ = F.when(F.col("top"), F.array_append("signs", F.lit("probability"))).otherwise(F.col("signs"))
-    origin = F.array_intersect(all_, F.array(*(F.lit(x) for x in LEVELS[level])).cast("array<string>"))
-    hit = F.size(origin) > 0
-    return s.select("doc_id", "nr", F.when(hit, F.lit("A")).otherwise(F.col("status")).alias("status"), F.when(hit & (F.col("status") != "A"), F.col("status")).alias("status_model"), F.array_join(origin, ",").alias("origin"))
-
-
 def fingerprint(v: DataFrame) -> DataFrame:
     """(doc_id, print): the first 16 hex digits of a digest of all verdicts in order."""
     cell = F.concat_ws("=", F.lpad(F.col("nr").cast("string"), 3, "0"), F.coalesce("status", F.lit("-")))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from ..functions.columns import literal_score, padded_words
+from . import rules as R
 from . import text as T
 
-# Names that bind to one product, words that prescribe, words that leave it open.
+#: Names and words of license lines, which the documents have where requirement texts name vendors.
 NAMES, PRESCRIBES, LEAVES_OPEN = "gnu|apache|mozilla|creative commons|copyright", "licen[sc]ed|license|version|rights|under", "or equivalent|or similar|alternative"
 
 
@@ -33,9 +34,8 @@ def sentence_assignment(docs: DataFrame) -> DataFrame:
 
 
 def hard_facts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_facts, facts): names in capitals and long numbers of a text, each once, in order of their first place."""
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Z]{3,}[0-9]*|[0-9]{4,}"), 0)
-    return docs.select("doc_id", F.array_distinct(found).alias("f")).filter(F.size("f") > 0).select("doc_id", F.size("f").alias("n_facts"), F.array_join("f", " ").alias("facts"))
+    """(doc_id, n_facts, facts): names in capitals and long numbers of a text but everyday ones, each once whatever its case, in order of their first place."""
+    return docs.select("doc_id", R.facts_of(F.col("text")).alias("f")).filter(F.size("f") > 0).select("doc_id", F.size("f").alias("n_facts"), F.array_join("f", " ").alias("facts"))
 
 
 def value_ranges(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -53,25 +53,11 @@ def out_of_range(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def json_answers(events: DataFrame) -> DataFrame:
-    """(k, n, unreadable): the first balanced object in a prose answer, read by a schema."""
-    answer = F.concat(F.lit("my answer {is} below: "), F.coalesce("props", F.lit("none")), F.lit(" as asked"))
-    after = F.regexp_extract(answer, r":[^{]*(\{[^{}]*\})", 1)
-    got = F.from_json(after, "k int")
+    """(k, n): the number in the first balanced object of each event's answer, and how many events have it; null for answers that can't be read."""
+    got = F.from_json(R.first_object(F.concat(F.lit("answer: "), F.coalesce("props", F.lit("none")), F.lit(" as asked }"))), "k int")
     return events.select(got["k"].alias("k")).groupBy("k").agg(F.count("*").alias("n"))
 
 
-def headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, number, title, own_chars): numbered headings, the last of equal ones, with the text up to the next heading."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
-    pattern = r"^\s*([0-9]+(?:\.[0-9]+)*)\.? +(\S.*)$"
-    w = Window.partitionBy("doc_id").orderBy("line")
-    marked = lines.withColumn("is", F.col("t").rlike(pattern)).withColumn("island", F.sum(F.col("is").cast("int")).over(w)).filter("island > 0")
-    h = marked.groupBy("doc_id", "island").agg(F.min("line").alias("line"), F.min_by("t", "line").alias("t"), F.sum(F.when(~F.col("is"), F.length(F.trim("t"))).otherwise(0)).alias("own_chars"))
-    h = h.select("doc_id", "line", F.regexp_extract("t", pattern, 1).alias("number"), F.trim(F.regexp_extract("t", pattern, 2)).alias("title"), "own_chars")
-    last = Window.partitionBy("doc_id", "number", F.lower("title")).orderBy(F.desc("line"))
-    return h.withColumn("k", F.row_number().over(last)).filter("k = 1").drop("k")
-
-
 def common_titles(docs: DataFrame) -> DataFrame:
     """(source, title, n): the most frequent first line of a source's documents, of equal ones the shortest, then the first."""
     t = docs.filter("text is not null").select("source", F.substring_index("text", "\n", 1).alias("title")).groupBy("source", "title").agg(F.count("*").alias("n"))
@@ -85,50 +71,10 @@ def topic_means(vectors: DataFrame) -> DataFrame:
     return v.groupBy("label", "dim").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
 
 
-# Coefficients of the frozen decider, by class: constant, first, three, ten, max_cos, max_lex.
-COEFFICIENTS = {"E": (-1.0, 2.0, 1.0, 0.5, 0.5, 1.0), "T": (-0.5, 1.0, 0.5, 0.5, 0.2, 0.5), "A": (-2.0, 0.5, 0.5, 0.1, 0.1, 1.5), "N": (1.5, -1.5, -0.5, -0.5, -0.5, -1.0)}
-
-
-def softmax(features: DataFrame) -> DataFrame:
-    """(doc_id, nr, p_e, p_t, p_a, p_n, lifted): probabilities of a frozen multinomial model, and the status a verdict N is lifted to."""
-    cols = ["first", "three", "ten", "max_cos", "max_lex"]
-    z = {s: F.lit(c[0]) + sum((F.lit(w) * F.col(x) for w, x in zip(c[1:], cols)), F.lit(0.0)) for s, c in COEFFICIENTS.items()}
-    f = features.select("doc_id", "nr", *(e.alias(f"z_{s.lower()}") for s, e in z.items()))
-    top = F.greatest("z_e", "z_t", "z_a", "z_n")
-    ex = {s: F.exp(F.col(f"z_{s}") - top) for s in "etan"}
-    total = ex["e"] + ex["t"] + ex["a"] + ex["n"]
-    out = f.select("doc_id", "nr", *(F.round(ex[s] / total, 4).alias(f"p_{s}") for s in "etan"), F.when(F.col("z_e") == top, "E").when(F.col("z_t") == top, "T").when(F.col("z_a") == top, "A").otherwise("N").alias("most"))
-    return out.withColumn("lifted", F.when(F.col("most").isin("E", "T"), F.col("most"))).drop("most")
-
-
-def train_decider(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, p): probability of a good document by logistic regression on standardised features, of C-form regularisation (C = 0.5).
-
-    Standardised by population deviations beforehand; regParam = 1 / (C n).
-    """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    t = F.coalesce("text", F.lit(""))
-    size = F.greatest(F.length(t), F.lit(1))
-    share = lambda p: F.length(F.regexp_replace(t, p, "")) / size
-    f = docs.select("doc_id", F.log1p(F.length(t).cast("double")).alias("f0"), share("[^A-Z]").alias("f1"), share("[^0-9]").alias("f2"), share(r"[\w\s]").alias("f3"))
-    stats = f.agg(*(F.avg(f"f{i}").alias(f"m{i}") for i in range(4)), *(F.stddev_pop(f"f{i}").alias(f"s{i}") for i in range(4))).first()
-    for i in range(4):
-        f = f.withColumn(f"f{i}", (F.col(f"f{i}") - F.lit(stats[f"m{i}"] or 0.0)) / F.lit(stats[f"s{i}"] or 1.0))
-    v = VectorAssembler(inputCols=[f"f{i}" for i in range(4)], outputCol="features").transform(f)
-    train = v.join(labels.select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    n = train.count()
-    model = LogisticRegression(regParam=1 / (0.5 * max(n, 1)), standardization=False, maxIter=200).fit(train)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(v).select("doc_id", F.round(vector_to_array("probability")[1], 4).alias("p"))
-
-
 def archive(docs: DataFrame) -> DataFrame:
-    """(doc_id, kept, short, junk): what of a document goes to the archive, and why not the rest."""
-    s = T.junk_signs(T.sections(docs)).withColumn("short", F.length("text") < K.ARCHIVE_MIN_CHARS)
-    return s.groupBy("doc_id").agg(F.count_if(~F.col("short") & ~F.col("is_junk")).alias("kept"), F.count_if("short").alias("short"), F.count_if(~F.col("short") & F.col("is_junk")).alias("junk"))
+    """(doc_id, kept, short, junk): how many sections of a document go to the archive, and why not the rest: too short, or a list of contents."""
+    s = T.sections(docs).withColumn("short", F.length(F.trim("text")) < K.ARCHIVE_MIN_CHARS).withColumn("contents", R.is_contents(F.col("text")))
+    return s.groupBy("doc_id").agg(F.count_if(~F.col("short") & ~F.col("contents")).alias("kept"), F.count_if("short").alias("short"), F.count_if(~F.col("short") & F.col("contents")).alias("contents"))
 
 
 def slots(docs: DataFrame) -> DataFrame:
@@ -137,8 +83,9 @@ def slots(docs: DataFrame) -> DataFrame:
 
 
 def regulated_by(v: DataFrame) -> DataFrame:
-    """(nr, n, docs): the documents that regulate a criterion, in natural order."""
-    return v.filter("ref in ('E', 'T', 'A')").groupBy("nr").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    """(nr, doc_id, n): the documents that regulate a criterion, a row each, with their number; no criterion's documents are gathered."""
+    r = v.filter("ref in ('E', 'T', 'A')").select("nr", "doc_id")
+    return r.join(F.broadcast(r.groupBy("nr").agg(F.count("*").alias("n"))), "nr").select("nr", "doc_id", "n")
 
 
 def examples(v: DataFrame, n: int = 3) -> DataFrame:
@@ -155,11 +102,14 @@ def renumbered(v: DataFrame) -> DataFrame:
 
 
 def liveness(events: DataFrame) -> DataFrame:
-    """(user_id, silent_s, state): how long a run is silent at the end of all events."""
+    """(user_id, silent_s, state): state of runs at the end of all events. A pulse is an event after the first one, which starts the run.
+
+    A run is dead after 60 s without a pulse, and before its first pulse after 180 s.
+    """
     end = events.agg(F.max("ts").alias("end"))  # one row
-    last = events.groupBy("user_id").agg(F.max("ts").alias("last")).crossJoin(F.broadcast(end))
-    s = F.floor(F.unix_micros(F.col("end").cast("timestamp")) / 1_000_000).cast("long") - F.floor(F.unix_micros(F.col("last").cast("timestamp")) / 1_000_000).cast("long")
-    return last.select("user_id", s.alias("silent_s"), F.when(s <= 60, "alive").when(s <= 180 * 60, "late").otherwise("dead").alias("state"))
+    last = events.groupBy("user_id").agg(F.max("ts").alias("last"), F.count("*").alias("n")).crossJoin(F.broadcast(end))
+    s = F.floor((F.unix_micros(F.col("end").cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 1_000_000).cast("long")
+    return last.select("user_id", s.alias("silent_s"), F.when(s < F.when(F.col("n") > 1, K.SILENCE_S).otherwise(K.START_S), "running").otherwise("dead").alias("state"))
 
 
 def sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:

@@ -48,22 +48,26 @@ def _merged(pieces: Column) -> Column:
     return F.filter(whole, lambda x: F.length(x) >= K.SECTION_MIN)
 
 
-def sections(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, page, section_idx, text): pages are parted by form feeds, sections numbered from 0 over the document."""
+def sectioned(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_sections, page, section_idx, text): sections with the number that their document has; pages are parted by form feeds, sections numbered from 0 over the document."""
     # All pages of a document stay one row until they are numbered, so nothing is shuffled.
     listed = docs.select(
         "doc_id",
         F.flatten(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\f"), lambda t, i: F.transform(_merged(_cut(_blocks(t))), lambda s: F.struct((i + 1).alias("page"), s.alias("text"))))).alias("s"),
     )
-    return listed.select("doc_id", F.posexplode("s").alias("section_idx", "s")).select("doc_id", "s.page", "section_idx", "s.text")
+    return listed.select("doc_id", F.size("s").alias("n_sections"), F.posexplode("s").alias("section_idx", "s")).select("doc_id", "n_sections", "s.page", "section_idx", "s.text")
+
+
+def sections(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, page, section_idx, text)."""
+    return sectioned(docs, text).drop("n_sections")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, sentence): white space collapsed, cut after . ; ! ? and at bullets, longer than 12 characters."""
-    flat = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"\s+", " ")
-    cut = F.split(F.regexp_replace(F.regexp_replace(flat, r"([.;!?]) ", "$1\u0001"), r" [-•] ", "\u0001"), "\u0001")
-    kept = F.filter(F.transform(cut, lambda s: F.trim(s)), lambda s: F.length(s) > 12)
-    return docs.select("doc_id", F.posexplode(kept).alias("pos", "sentence"))
+    """(doc_id, pos, sentence): sentences longer than 12 characters."""
+    from .rules import split_sentences
+
+    return docs.select("doc_id", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 def words(text: Column) -> Column:
