@@ -47,6 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -141,8 +142,8 @@ def _sign(n_bands: int, rows: int, k: int):
             out = bands(sig, n_bands, rows)
             full = np.bincount(doc, minlength=len(per)) > 0
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), _keys(texts), C.lists(C.signed(out[full].ravel()), np.where(full, n_bands, 0), pa.int64()), pa.array([r.tobytes() for r in _sketch(sig)], pa.binary())],
-                names=["doc_id", "node", "bands", "sketch"],
+                [b.column("doc_id"), _keys(texts), C.lists(C.signed(out[full].ravel()), np.where(full, n_bands, 0), pa.int64()), pa.array([r.tobytes() for r in _sketch(sig)], pa.binary()), pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())],
+                names=["doc_id", "node", "bands", "sketch", "size"],
             )
 
     return run
@@ -284,12 +285,12 @@ def near_duplicates(
     spark = docs.sparkSession
     C.prepare(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = C.saved(slim.mapInArrow(_sign(n_bands, rows, k), "doc_id long, node binary, bands array<long>, sketch binary"), "signed")
+    signed = C.saved(slim.mapInArrow(_sign(n_bands, rows, k), "doc_id long, node binary, bands array<long>, sketch binary, size long"), "signed")
 
     # One row for each different text; its bands are those of any copy.
     nodes = C.saved(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id")), "nodes")
     reps = signed.join(nodes, (signed.node == nodes.node) & signed.doc_id.eqNullSafe(nodes.copy_id), "left_semi")
-    bucket = C.saved(reps.select("node", F.explode("bands").alias("band")).distinct(), "bands")
+    bucket = C.saved(reps.select("node", "size", F.explode("bands").alias("band")).groupBy("node", "band").agg(F.max("size").alias("size")), "bands")
     centres = bucket.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).filter("n > 1").select("band", "centre")
     shared = C.saved(bucket.join(centres, "band"), "shared")
     C.dropped(bucket)
@@ -327,9 +328,8 @@ def near_duplicates(
     sizes = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max_by("label", F.struct("n", "label")).alias("most"))
     open_ = C.saved(now.join(sizes.filter("groups > 1 and n > 2").select("band", "most"), "band"), "open")
     C.dropped(now, shared)
-    of_open = open_.join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    room = of_open.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("band", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("bytes") / SIDE_BYTES)).alias("blocks"))
-    full = C.saved(open_.join(room, "band").join(sketches, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "full")
+    room = open_.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).select("band", F.greatest(F.ceil(F.col("n") / SIDE), F.ceil(F.col("bytes") / SIDE_BYTES)).alias("blocks"))
+    full = C.saved(open_.drop("size").join(room, "band").join(sketches, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "full")
     gathered = lambda df, at: df.groupBy("band", F.col("block").alias(at), "most", "centre").agg(F.collect_list(F.struct("node", "label", "sketch", "bands")).alias("nodes"))
     rest = gathered(full.filter("label <> most"), "r").withColumnRenamed("nodes", "rest")
     met = rest.join(gathered(full, "c").select("band", "c", "nodes"), "band")
