@@ -11,7 +11,10 @@ The network is fitted on at most ``SAMPLE`` labelled rows, whole texts.
 
 Defined cases: null and empty texts, as all texts, are followed by one filter's
 width of zero bytes and so have one chunk; without labelled rows, or with one
-class only, the score is that class's share (0.5 without rows).
+class only, the score is that class's share (0.5 without rows). Equal texts have equal
+scores (ties), repeated rows are scored each, very long texts are scored whole, and the
+score of a text doesn't depend on the texts around it. Other columns are kept by
+keep_good() and not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,12 +43,16 @@ def _laid_out(texts: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(t.ljust(n * step, b"\0") for t, n in zip(texts, halves.tolist())), np.uint8), halves
 
 
-def _convolved(buf: np.ndarray, tables: np.ndarray) -> np.ndarray:
+def _convolved(buf: np.ndarray, halves: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Values of all filters at all places; those that would reach into the next text are out of the running (the zeros before them have the same value)."""
     padded = np.concatenate([buf, np.zeros(WIDTH, np.uint8)])
     n = len(buf) // STRIDE
     out = tables[0][padded[: n * STRIDE : STRIDE]]
     for o in range(1, WIDTH):
         out += tables[o][padded[o : o + n * STRIDE : STRIDE]]
+    end = np.cumsum(halves) * HALF
+    for k in range(1, WIDTH // STRIDE):
+        out[end - k] = -np.inf
     return out
 
 
@@ -79,14 +86,14 @@ class Network:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         buf, halves = _laid_out(texts)
-        half = _convolved(buf, self.tables() if tables is None else tables).reshape(-1, HALF, FILTERS).max(axis=1)
+        half = _convolved(buf, halves, self.tables() if tables is None else tables).reshape(-1, HALF, FILTERS).max(axis=1)
         *_, mean, top = self._features(half, halves)
         z = np.concatenate([mean, top], axis=1) @ self.p["out"] + self.p["last"]
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def gradients(self, texts: list[bytes], y: np.ndarray) -> dict:
         buf, halves = _laid_out(texts)
-        values = _convolved(buf, self.tables()).reshape(-1, HALF, FILTERS)
+        values = _convolved(buf, halves, self.tables()).reshape(-1, HALF, FILTERS)
         where = values.argmax(axis=1)
         half = np.take_along_axis(values, where[:, None], 1)[:, 0]
         chunk, keep, at, n, mean, top = self._features(half, halves)
