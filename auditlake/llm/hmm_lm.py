@@ -16,7 +16,9 @@ meet in a join by word, a text with the words it has, not with its tokens.
 
 Defined cases: null, empty and white texts are the end alone; without training
 texts all counts are 0 and the states emit all symbols alike; repeated rows count
-and are scored each; an empty table gives an empty result.
+and are scored each; equal texts have equal scores (ties); very long texts are scored
+whole (in training they are cut like all others); other columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,9 @@ is like none of the languages.
 
 Fitted on at most ``SAMPLE`` rows of each language, whole texts. Defined cases:
 null and empty texts and texts without letters get ``und`` and score 0; without
-training rows all do; one language alone gets score 1.
+training rows all do; one language alone gets score 1; of equally likely languages
+(ties) the first by name is taken; repeated rows are predicted each; very long texts are
+read whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ table of one number a bucket.
 
 Fitted on at most ``SAMPLE`` labelled rows, whole texts. Defined cases: null,
 empty and white texts have one empty window and get the score of the bias;
-without labelled rows, or with one class, the score is that class's share.
+without labelled rows, or with one class, the score is that class's share; equal
+texts have equal scores (ties), repeated rows are scored each, very long texts are
+scored whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

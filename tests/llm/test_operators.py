@@ -452,3 +452,124 @@ def test_suffix_sort():
     order = suffix_dedup.suffix_sort(buf, suffix_dedup.Prefix(buf), starts, segment, 50)
     want = sorted(range(200), key=lambda i: (segment[i], buf[starts[i] : starts[i] + 50].tobytes()))
     assert [(segment[i], buf[starts[i] : starts[i] + 50].tobytes()) for i in order] == [(segment[i], buf[starts[i] : starts[i] + 50].tobytes()) for i in want]
+
+
+def test_quality_scores_are_those_of_a_slow_forward_pass():
+    net, r = byte_cnn.Network(), random.Random(4)
+    texts = ["", "a", prose(3, r=r), prose(60, r=r), "é" * 700, "x" * 248, "x" * 249, prose(400, r=r)]
+    filters = np.einsum("bd,odf->obf", net.p["bytes"], net.p["filters"])
+    step, want = byte_cnn.HALF * byte_cnn.STRIDE, []
+    for t in texts:
+        raw = t.encode()
+        n = max(2, -(-(len(raw) + byte_cnn.WIDTH) // step))
+        raw = raw.ljust(n * step, b"\0") + bytes(byte_cnn.WIDTH)
+        value = [sum(filters[o][raw[i + o]] for o in range(byte_cnn.WIDTH)) for i in range(0, n * step, byte_cnn.STRIDE)]
+        chunks = [np.maximum(np.max(value[h * byte_cnn.HALF : (h + 2) * byte_cnn.HALF], axis=0) + net.p["bias"], 0) for h in range(n - 1)]
+        z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.p["out"] + net.p["last"][0]
+        want.append(1 / (1 + math.exp(-z)))
+    together, alone = net.scores([t.encode() for t in texts]), [net.scores([t.encode()])[0] for t in texts]
+    assert np.allclose(together, want, atol=1e-5) and np.allclose(alone, want, atol=1e-5)
+
+
+def test_kneser_ney_by_dictionaries():
+    text = ["abab abba baab", "aab bba abc"]
+    m = langid_kn.Models(["x"]).fit([text])
+    marked = [[0, *map(ord, w), 0] for t in text for w in t.split()]
+    tables = []
+    for n in range(1, langid_kn.ORDER + 1):
+        seen = Counter() if n == langid_kn.ORDER else set()
+        for w in marked:
+            for p in range(1, len(w)):
+                if p < n - 1:
+                    continue
+                gram = tuple(w[p - n + 1 : p + 1])
+                if n == langid_kn.ORDER:
+                    seen[gram] += 1
+                else:
+                    seen.add((gram, tuple(w[p - n : p + 1]) if p >= n else gram))
+        count = seen if n == langid_kn.ORDER else Counter(g for g, _ in seen)
+        total, kinds = Counter(), Counter()
+        for g, c in count.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        tables.append((count, total, kinds))
+    alphabet = len({c for w in marked for c in w}) + 1
+
+    def cost(word):
+        w, bits = [0, *map(ord, word), 0], 0.0
+        for p in range(1, len(w)):
+            q = 1 / alphabet
+            for n, (count, total, kinds) in enumerate(tables, 1):
+                context = tuple(w[p - n + 1 : p])
+                if p >= n - 1 and total[context]:
+                    q = max(count[(*context, w[p])] - langid_kn.DISCOUNT, 0) / total[context] + min(1, langid_kn.DISCOUNT * kinds[context] / total[context]) * q
+            bits -= math.log2(q)
+        return bits
+
+    for word in ["abab", "abba", "ccc", "a", "abcabc", "zz"]:
+        codes, starts, ends, _ = langid_kn.words([word])
+        assert abs(m.costs(codes, starts, ends)[0, 0] - cost(word)) < 1e-3
+
+
+def test_language_model_score_in_plain_python(spark, monkeypatch):
+    """The score of held-out and training texts by a loop over states, from the model and the counts alone."""
+    r, kept = random.Random(6), {}
+    rows = [(i, prose(r.randint(0, 60), r=r) + (" unseen" if i % 5 == 0 else "")) for i in range(60)] + [(100, None), (101, "only unknown words here"), (None, "no id")]
+    scored, vocabulary = hmm_lm._scored, hmm_lm.vocabulary
+    monkeypatch.setattr(hmm_lm, "_scored", lambda sent: kept.update(model=sent.value) or scored(sent))
+    monkeypatch.setattr(hmm_lm, "vocabulary", lambda t: kept.update(v=vocabulary(t)) or kept["v"])
+    got = sorted(((str(x.doc_id), x.score) for x in hmm_lm.likelihoods(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    model, (v, _) = kept["model"], kept["v"]
+    out = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 == 2
+    counts = Counter(x for d, t in rows if not out(d) for x in tokens(t))
+    want = []
+    for d, t in rows:
+        h, kind, _ = hmm_lm._tokens(pa.array([t or ""]))
+        total, a = 0.0, None
+        for s, token in zip(v.symbol(h, kind).tolist(), tokens(t)):
+            e = [float(x) for x in model.emit[s]]
+            a = [float(model.start[j]) * e[j] for j in range(hmm_lm.STATES)] if a is None else [sum(a[i] * float(model.move[i, j]) for i in range(hmm_lm.STATES)) * e[j] for j in range(hmm_lm.STATES)]
+            c = sum(a)
+            total, a = total + math.log10(c), [x / c for x in a]
+            if s >= hmm_lm.HEAD:
+                total += math.log10((counts.get(token, 0) + 1) / float(v.room[s - hmm_lm.HEAD]))
+        want.append((str(d), total))
+    assert [x for x, _ in got] == [x for x, _ in sorted(want)]
+    assert all(abs(a - b) < 1e-3 * max(1, abs(b)) for (_, a), (_, b) in zip(got, sorted(want)))
+
+
+def test_very_long_texts_are_cut_into_runs_in_parts(monkeypatch):
+    r = random.Random(12)
+    text = "".join(r.choice("abc ") for _ in range(9000))
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "short"], pa.string())], names=["doc_id", "text"])
+    whole = pa.Table.from_batches(suffix_dedup._spans(400, 100)(iter([b])))
+    monkeypatch.setattr(suffix_dedup, "PART", 1000)
+    parts = pa.Table.from_batches(suffix_dedup._spans(400, 100)(iter([b])))
+
+    def anchors(t):
+        return {w: a for lo, hi, a in zip(t["low"].to_pylist(), t["high"].to_pylist(), t["anchor"].to_pylist()) for w in range(lo, hi + 1)}
+
+    assert anchors(whole) == anchors(parts) and sorted(anchors(parts)) == list(range(len(text) - 399))
+    assert sum(h - lo + 1 for lo, h in zip(parts["low"].to_pylist(), parts["high"].to_pylist())) == len(text) - 399
+
+
+def test_names_that_clash(spark):
+    r = random.Random(13)
+    shared = prose(120, r=r)
+    rows = [(i, (prose(20, r=r) + " " + shared) if i < 3 else prose(50, r=r), f"k{i}", f"n{i}", i, "w", b"x") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, keep_node string, keep_id int, windows string, row_key binary")
+    cut = {x.doc_id: x for x in suffix_dedup.without_repeats(docs).collect()}
+    assert all((cut[i].key, cut[i].windows, bytes(cut[i].row_key)) == (k, w, b"x") for i, _, k, _, _, w, _ in rows)
+    assert len(cut[0].text) < len(rows[0][1]) - 400 and cut[5].text == rows[5][1]
+    kept = bagminhash.keep_one(docs)
+    assert kept.columns == docs.columns and {x.key for x in kept.collect()} <= {f"k{i}" for i in range(6)}
+
+
+def test_components(spark):
+    r = random.Random(14)
+    names = [bytes([r.randrange(256) for _ in range(16)]) for _ in range(60)]
+    links = [(names[i], names[i + 1]) for i in range(0, 29)] + [(names[30], names[40]), (names[40], names[30]), (names[45], names[45]), (names[50], names[51]), (names[51], names[52])]
+    got = {bytes(x.node): bytes(x.label) for x in bagminhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
+    assert len({got[n] for n in names[:30]}) == 1 and got[names[30]] == got[names[40]] and len({got[names[i]] for i in (50, 51, 52)}) == 1
+    assert len(set(got.values())) == 3
+    assert bagminhash.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
