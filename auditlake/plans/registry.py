@@ -12,6 +12,8 @@ from .. import words as L
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import evidence as V
+from ..operators import jobs as J
+from ..operators import provider as A
 from ..operators import report as P
 from ..operators import rules as R
 from ..operators import search as S
@@ -50,13 +52,35 @@ def _on_reasoned(f) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _on_passages(f) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: f(I.passages(spark, sf_dir))
+    return lambda spark, sf_dir: package.send(spark) or f(I.passages(spark, sf_dir))
 
 
 def _on_outlines(f) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(I.outlines(spark, sf_dir))
 
 
+def _noted(h: DataFrame) -> DataFrame:
+    return h.select("doc_id", "nr", "page", F.concat_ws(" ", "nr", "words").alias("text"))
+
+
+def _cases(v: DataFrame, p: DataFrame, r: DataFrame, c: DataFrame) -> DataFrame:
+    """Cases of flagged verdicts; the model is known to have said E where the reference is missing."""
+    n = p.groupBy("doc_id", "nr").agg(F.count("*").alias("candidates"))
+    asked = v.select("doc_id", "nr", "cause", F.when(F.col("ref").isNull(), "E").alias("said_status"), "lifted").join(n, ["doc_id", "nr"], "left").join(R.echoes(v, p, r), ["doc_id", "nr"], "left")
+    return D.case_of(_flags(v, p, r, c).select("doc_id", "nr", "status", "status_model"), asked)
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranker on verdicts, with the features of their candidates."""
+    v, p, r, c = (f(spark, sf_dir) for f in (I.reasoned, I.passages, I.requirements, I.criteria))
+    top = lambda k, d: F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("score"))) / d, F.lit(0.0))
+    f = p.groupBy("doc_id", "nr").agg((F.count("*") / 30).alias("filled"), top(1, 1).alias("first"), top(3, 3).alias("three"), top(10, 10).alias("ten"), F.max("score").alias("max_cos"), F.lit(0.0).alias("max_lex"), F.lit(0.0).alias("with_terms"), (F.count_if(F.col("score") >= K.STRONG) / 30).alias("strong"))
+    size = p.groupBy("doc_id").agg(F.log1p(F.count("*").cast("double")).alias("log_sections"))
+    klass = lambda k: (F.col("nr") % 3 == k).cast("double")
+    rows = D.ranker_rows(f.join(size, "doc_id").withColumns({"mandatory": klass(0), "regular": klass(1), "optional": klass(2)}), v, r, c)
+    return D.ranked(rows, D.train(rows, D.RANK_FEATURES, ["-", "A"]))
+
+
 def _changes(c: DataFrame, r: DataFrame) -> DataFrame:
     """The template against an older one, which lacks some criteria and has other titles and classes."""
     full = c.select("nr", "title", "klass").join(M.with_standard(c, r).select("nr", "required"), "nr")
@@ -70,7 +94,7 @@ def _on_requirements(f) -> Callable[[SparkSession, str], DataFrame]:
 
 def _on_audit(f) -> Callable[[SparkSession, str], DataFrame]:
     """Queries on verdicts with reasons, passages, requirements and criteria."""
-    return lambda spark, sf_dir: f(I.reasoned(spark, sf_dir), I.passages(spark, sf_dir), I.requirements(spark, sf_dir), I.criteria(spark, sf_dir))
+    return lambda spark, sf_dir: package.send(spark) or f(I.reasoned(spark, sf_dir), I.passages(spark, sf_dir), I.requirements(spark, sf_dir), I.criteria(spark, sf_dir))
 
 
 def _flags(v: DataFrame, p: DataFrame, r: DataFrame, c: DataFrame, level: str = "thorough", levels=D.LEVELS) -> DataFrame:
@@ -162,6 +186,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "w12_context": _on_passages(P.context),
     "p21_density": _on_passages(P.density),
     "a15_pair_summary": _on_verdicts(lambda v: S.pair_summary(v.select("doc_id", F.when(F.col("status").isNotNull(), F.round(F.col("p") * 100).cast("int")).alias("value")))),
+    "m1_run_folders": _on("events", lambda e: J.folder_names(J.states(e))),
+    "m2_run_states": _on("events", lambda e: J.states(e).select("run", "state")),
+    "m3_newest_runs": _on("events", lambda e: J.newest(J.states(e))),
+    "f23_training_part": _on("documents", lambda d: J.corpus_part(d, "training", list(range(0, 200, 3)), [1, 2]).select("doc_id")),
+    "f24_other_conditions": _on_verdicts(lambda v: J.differing_conditions(v.select(F.concat_ws("-", "doc_id", "nr").alias("id"), "status", "before", "ref"), v.select(F.concat_ws("-", "doc_id", "nr").alias("id"), F.col("other").alias("status"), "before", F.lit("E").alias("ref")), "id")),
+    "u6_hints_of_both": _on_audit(lambda v, p, r, c: P.hints_of_both(_noted(R.reason_hints(v.filter("p < 0.5"), p, c, v.limit(0))), _noted(R.reason_hints(v, p, c, v.limit(0))))),
+    "l1_verdicts": _on_audit(lambda v, p, r, c: A.verdicts(A.verdict_prompts(c, v, p, 3), p, A.ByLength())),
+    "l9_judged_pairs": _on_passages(lambda p: A.judged_pairs(p.select("doc_id", "nr", "rank", F.col("text").alias("prompt")), A.ByLength(7)).select("doc_id", "nr", "rank", "value", "error")),
+    "k14_cases": _on_audit(_cases),
+    "k3_train_ranker": lambda spark, sf_dir: _ranked(spark, sf_dir),
+    "s18_sections_seen": _on_passages(lambda p: p.groupBy("doc_id").agg(F.count_distinct("page", F.substring("text", 1, 40)).alias("sections"), F.count("*").alias("passages"))),
+    "a23_chapters": lambda spark, sf_dir: package.send(spark) or J.chapters(M.template_headings(M.lines_of(I.outlines(spark, sf_dir))).select(F.lower("title").alias("topic")).distinct().withColumn("v", S.embedded("topic"))),
+    "a21_topic_groups": lambda spark, sf_dir: package.send(spark) or J.topic_groups(M.template_headings(M.lines_of(I.outlines(spark, sf_dir))).select(F.substring_index(F.lower("title"), " ", 1).alias("key"), F.lower("title").alias("topic")).distinct().withColumn("v", S.embedded("topic"))),
     "p6_bullets": _on_passages(lambda p: p.select("doc_id", "nr", "rank", F.posexplode(R.split_sentences(F.col("text"))).alias("pos", "sentence"))),
     "f1_contents": _on_passages(lambda p: p.select("doc_id", "nr", "rank", R.is_contents(F.col("text")).alias("is_contents"))),
     "f7_cost_sentences": _on_passages(lambda p: R.sentence_signs(p).drop("page", "score")),

@@ -104,6 +104,7 @@ SELECT nr, CAST(row_number() OVER (PARTITION BY nr ORDER BY g, doc_id) AS INTEGE
         "v1_violations": f"""{rs}, d AS (SELECT DISTINCT doc_id FROM rs) SELECT d.doc_id, crit.nr, 'missing' AS rule FROM d CROSS JOIN crit WHERE NOT EXISTS (SELECT 1 FROM rs WHERE rs.doc_id = d.doc_id AND rs.nr = crit.nr) UNION ALL SELECT doc_id, nr, 'unknown' FROM rs WHERE nr NOT IN (SELECT nr FROM crit)
 UNION ALL SELECT doc_id, nr, 'illegal status' FROM rs WHERE status IS NULL UNION ALL SELECT doc_id, nr, 'N with a reason or evidence' FROM rs WHERE status = 'N' AND (reason <> '' OR evidence <> '') UNION ALL SELECT doc_id, nr, 'no reason' FROM rs WHERE status IN ('E', 'T', 'A') AND trim(reason, ' ') = ''
 UNION ALL SELECT doc_id, nr, 'no evidence' FROM rs WHERE status IN ('E', 'T', 'A') AND trim(evidence, ' ') = '' UNION ALL SELECT DISTINCT doc_id, NULL::INTEGER, 'unrated' FROM rs WHERE cause NOT IN ('', 'kein Kandidat')""",
+        **_jobs(v, rs),
         "u1_corpus": f"{v} SELECT nr, doc_id FROM v WHERE ref IN ('E', 'T', 'A') UNION SELECT nr, doc_id FROM v WHERE other IN ('E', 'T', 'A') AND p < 0.2",
         "u3_run_sets": f"{v}, a AS (SELECT DISTINCT nr FROM v WHERE status IS NOT NULL), b AS (SELECT DISTINCT nr FROM v WHERE p >= 0.985) SELECT nr, 'first' AS only_in FROM a WHERE nr NOT IN (SELECT nr FROM b) UNION ALL SELECT nr, 'second' FROM b WHERE nr NOT IN (SELECT nr FROM a)",
         "u4_common_documents": f"{v} SELECT doc_id FROM v WHERE status IS NOT NULL INTERSECT SELECT doc_id FROM v WHERE p >= 0.5",
@@ -116,3 +117,23 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY placed NOT I
         "a15_pair_summary": f"""{v}, j AS (SELECT doc_id, CASE WHEN status IS NOT NULL THEN CAST(round(p * 100) AS INTEGER) END AS value FROM v)
 SELECT doc_id, round(avg(value) / 100, 6) AS agreement, count(*) FILTER (value IS NULL) AS unrated, count(*) FILTER (value >= 90) AS identical, count(*) FILTER (value >= 60 AND value < 90) AS similar, count(*) FILTER (value >= 25 AND value < 60) AS different, count(*) FILTER (value < 25) AS unrelated FROM j GROUP BY doc_id""",
     }
+
+
+def _jobs(v: str, rs: str) -> dict[str, str]:
+    state = f"""st AS (SELECT user_id AS run, min(ts) AS created, max(ts) AS last, arg_max(event_type, (ts, event_id)) AS e, count(*) AS n FROM events GROUP BY user_id),
+sx AS (SELECT *, CASE e WHEN 'signup' THEN 'waiting' WHEN 'click' THEN 'running' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'done' ELSE 'error' END AS said, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last)) / 1e6 >= CASE WHEN n > 1 THEN {K.SILENCE_S} ELSE {K.START_S} END AS dead FROM st),
+sr AS (SELECT run, created, last, CASE WHEN said IN ('waiting', 'running') AND dead THEN 'crashed' ELSE said END AS state FROM sx)"""
+    prompt = "title || chr(10) || t"
+    return {
+        "m1_run_folders": f"WITH {state}, b AS (SELECT run, created, strftime(created, '%Y%m%d_%H%M') AS base FROM sr), k AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY created, run) AS k FROM b) SELECT run, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS folder FROM k",
+        "m2_run_states": f"WITH {state} SELECT run, state FROM sr",
+        "m3_newest_runs": f"WITH {state} SELECT run, state FROM sr ORDER BY created DESC, run LIMIT 10",
+        "f23_training_part": "SELECT doc_id FROM documents WHERE NOT (doc_id < 200 AND doc_id % 3 = 0)",
+        "f24_other_conditions": f"""{v}, d AS (SELECT doc_id || '-' || nr AS id, array_to_string(list_filter([CASE WHEN status IS DISTINCT FROM other THEN 'status' END, CASE WHEN ref IS DISTINCT FROM 'E' THEN 'ref' END], lambda z: z IS NOT NULL), ',') AS fields FROM v) SELECT * FROM d WHERE fields <> ''""",
+        "l1_verdicts": f"""{rs}, pt AS (SELECT doc_id, nr, string_agg('[S' || page || '] ' || text, chr(10) ORDER BY rank) AS t, arg_min(page, rank) AS best FROM passages WHERE rank <= 3 GROUP BY ALL), pg AS (SELECT doc_id, nr, list(DISTINCT page) AS pages FROM passages GROUP BY ALL),
+ls AS (SELECT d.doc_id, c.nr, length({prompt}) AS n, best, pages FROM (SELECT DISTINCT doc_id FROM rs) d CROSS JOIN crit c LEFT JOIN pt USING (doc_id, nr) LEFT JOIN pg USING (doc_id, nr))
+SELECT doc_id, nr, CASE WHEN n IS NULL THEN 'N' ELSE ['E', 'T', 'A', 'N'][n % 4 + 1] END AS status, CASE WHEN n IS NULL OR n % 4 = 3 THEN '' ELSE 'length ' || n END AS reason,
+CASE WHEN n IS NULL OR n % 4 = 3 THEN '' WHEN list_contains(pages, n % 40 + 1) THEN 'S' || (n % 40 + 1) ELSE 'S' || best END AS evidence, CASE WHEN n IS NULL THEN 'no candidate' ELSE '' END AS cause FROM ls""",
+        "l9_judged_pairs": f"WITH {_E} SELECT doc_id, nr, rank, CASE WHEN length(text) % 7 <> 0 THEN greatest(0, least(100, length(text) % 140 - 20)) END AS value, CASE WHEN length(text) % 7 = 0 THEN 'LLM-Aufruf fehlgeschlagen' ELSE '' END AS error FROM passages",
+        "s18_sections_seen": f"WITH {_E} SELECT doc_id, count(DISTINCT (page, left(text, 40))) AS sections, count(*) AS passages FROM passages GROUP BY doc_id",
+    }
