@@ -117,11 +117,11 @@ def stances(requirements: DataFrame, provider: Provider, stored: DataFrame) -> D
 class ByLength:
     """A stand-in for a model: its answer depends on the prompt's length alone; every n-th length fails."""
 
-    def __init__(self, fails_every: int = 0):
-        self.fails_every = fails_every
+    def __init__(self, fails_every: int = 0, cause: str = "LLM-Aufruf fehlgeschlagen"):
+        self.fails_every, self.cause = fails_every, cause
 
     def __call__(self, prompt: str) -> tuple[str, bool, str]:
         n = len(prompt)
         if self.fails_every and n % self.fails_every == 0:
-            return "", False, "LLM-Aufruf fehlgeschlagen"
+            return "", False, self.cause
         return '{"status": "%s", "begruendung": "length %d", "fundstelle": "S%d", "wert": %d, "unterschied": "none"}' % ("ETAN"[n % 4], n, n % 40 + 1, n % 140 - 20), True, ""

@@ -193,7 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "f24_other_conditions": _on_verdicts(lambda v: J.differing_conditions(v.select(F.concat_ws("-", "doc_id", "nr").alias("id"), "status", "before", "ref"), v.select(F.concat_ws("-", "doc_id", "nr").alias("id"), F.col("other").alias("status"), "before", F.lit("E").alias("ref")), "id")),
     "u6_hints_of_both": _on_audit(lambda v, p, r, c: P.hints_of_both(_noted(R.reason_hints(v.filter("p < 0.5"), p, c, v.limit(0))), _noted(R.reason_hints(v, p, c, v.limit(0))))),
     "l1_verdicts": _on_audit(lambda v, p, r, c: A.verdicts(A.verdict_prompts(c, v, p, 3), p, A.ByLength())),
-    "l9_judged_pairs": _on_passages(lambda p: A.judged_pairs(p.select("doc_id", "nr", "rank", F.col("text").alias("prompt")), A.ByLength(7)).select("doc_id", "nr", "rank", "value", "error")),
+    "l9_judged_pairs": _on_passages(lambda p: A.judged_pairs(p.select("doc_id", "nr", "rank", F.col("text").alias("prompt")), A.ByLength(7, "too long")).select("doc_id", "nr", "rank", F.col("value").cast("double").alias("value"), "error")),
     "k14_cases": _on_audit(_cases),
     "k3_train_ranker": lambda spark, sf_dir: _ranked(spark, sf_dir),
     "s18_sections_seen": _on_passages(lambda p: p.groupBy("doc_id").agg(F.count_distinct("page", F.substring("text", 1, 40)).alias("sections"), F.count("*").alias("passages"))),

@@ -134,6 +134,6 @@ sr AS (SELECT run, created, last, CASE WHEN said IN ('waiting', 'running') AND d
 ls AS (SELECT d.doc_id, c.nr, length({prompt}) AS n, best, pages FROM (SELECT DISTINCT doc_id FROM rs) d CROSS JOIN crit c LEFT JOIN pt USING (doc_id, nr) LEFT JOIN pg USING (doc_id, nr))
 SELECT doc_id, nr, CASE WHEN n IS NULL THEN 'N' ELSE ['E', 'T', 'A', 'N'][n % 4 + 1] END AS status, CASE WHEN n IS NULL OR n % 4 = 3 THEN '' ELSE 'length ' || n END AS reason,
 CASE WHEN n IS NULL OR n % 4 = 3 THEN '' WHEN list_contains(pages, n % 40 + 1) THEN 'S' || (n % 40 + 1) ELSE 'S' || best END AS evidence, CASE WHEN n IS NULL THEN 'no candidate' ELSE '' END AS cause FROM ls""",
-        "l9_judged_pairs": f"WITH {_E} SELECT doc_id, nr, rank, CASE WHEN length(text) % 7 <> 0 THEN greatest(0, least(100, length(text) % 140 - 20)) END AS value, CASE WHEN length(text) % 7 = 0 THEN 'LLM-Aufruf fehlgeschlagen' ELSE '' END AS error FROM passages",
+        "l9_judged_pairs": f"WITH {_E} SELECT doc_id, nr, rank, CASE WHEN length(text) % 7 <> 0 THEN greatest(0, least(100, length(text) % 140 - 20))::DOUBLE END AS value, CASE WHEN length(text) % 7 = 0 THEN 'too long' ELSE '' END AS error FROM passages",
         "s18_sections_seen": f"WITH {_E} SELECT doc_id, count(DISTINCT (page, left(text, 40))) AS sections, count(*) AS passages FROM passages GROUP BY doc_id",
     }
