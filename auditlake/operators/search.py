@@ -302,7 +302,9 @@ def document_ranking(vectors: DataFrame, exclude: int | None = None) -> DataFram
 def pair_summary(judged: DataFrame) -> DataFrame:
     """(doc_id, agreement, unrated, identical, similar, different, unrelated): judged(doc_id, value 0..100 or null) of pairs; unrated pairs don't count as 0."""
     v = F.col("value")
+    # The mean is rounded in whole numbers, half up, so that no representation of a half decides.
+    mean = F.expr("try_divide((20000 * sum(value) + count(value)) div nullif(2 * count(value), 0), 1000000.0D)")
     return judged.groupBy("doc_id").agg(
-        F.round(F.avg("value") / 100, 6).alias("agreement"), F.count_if(v.isNull()).alias("unrated"), F.count_if(v >= 90).alias("identical"), F.count_if((v >= 60) & (v < 90)).alias("similar"),
+        mean.alias("agreement"), F.count_if(v.isNull()).alias("unrated"), F.count_if(v >= 90).alias("identical"), F.count_if((v >= 60) & (v < 90)).alias("similar"),
         F.count_if((v >= 25) & (v < 60)).alias("different"), F.count_if(v < 25).alias("unrelated"),
     )

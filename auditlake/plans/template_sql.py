@@ -115,7 +115,7 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY placed NOT I
         "w12_context": f"{base} SELECT doc_id, nr, rank, array_to_string(list(text) OVER (PARTITION BY doc_id, nr ORDER BY rank ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), ' ') AS text FROM passages",
         "p21_density": f"{base}, g AS (SELECT doc_id, nr, count(*) AS n, count(*) FILTER (score >= {K.STRONG}) AS strong, count(DISTINCT page) AS pages FROM passages GROUP BY ALL) SELECT *, CASE WHEN strong = 0 THEN 'marginal' WHEN strong >= 3 THEN 'treated' ELSE 'some' END AS level FROM g",
         "a15_pair_summary": f"""{v}, j AS (SELECT doc_id, CASE WHEN status IS NOT NULL THEN CAST(round(p * 100) AS INTEGER) END AS value FROM v)
-SELECT doc_id, round(avg(value) / 100, 6) AS agreement, count(*) FILTER (value IS NULL) AS unrated, count(*) FILTER (value >= 90) AS identical, count(*) FILTER (value >= 60 AND value < 90) AS similar, count(*) FILTER (value >= 25 AND value < 60) AS different, count(*) FILTER (value < 25) AS unrelated FROM j GROUP BY doc_id""",
+SELECT doc_id, ((20000 * sum(value) + count(value)) // nullif(2 * count(value), 0))::DOUBLE / 1000000.0 AS agreement, count(*) FILTER (value IS NULL) AS unrated, count(*) FILTER (value >= 90) AS identical, count(*) FILTER (value >= 60 AND value < 90) AS similar, count(*) FILTER (value >= 25 AND value < 60) AS different, count(*) FILTER (value < 25) AS unrelated FROM j GROUP BY doc_id""",
     }
 
 
