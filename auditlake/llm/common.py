@@ -6,10 +6,8 @@ import ctypes
 import os
 import tempfile
 import uuid
-import zipfile
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import package
+
 #: Bytes of text that a task works on at once, and of the Arrow batches that it gets.
 BLOCK_BYTES, BATCH_BYTES = 1 << 19, 2 << 20
 _M64 = (1 << 64) - 1
@@ -66,15 +66,7 @@ def dropped(*tables: DataFrame) -> None:
 
 def prepare(spark: SparkSession) -> None:
     """Sends the package to the executors and keeps Arrow batches small: long texts must not add up to gigabytes."""
-    context = spark.sparkContext
-    if not getattr(context, "_auditlake_sent", False):
-        package = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="auditlake-")) / "auditlake.zip"  # the driver serves it to the executors while it runs
-        with zipfile.ZipFile(archive, "w") as z:
-            for p in sorted(package.rglob("*.py")):
-                z.write(p, p.relative_to(package.parent))
-        context.addPyFile(str(archive))
-        context._auditlake_sent = True
+    package.send(spark)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1000:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
