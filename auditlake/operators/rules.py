@@ -142,8 +142,7 @@ def values(text: Column) -> Column:
     t = low(text)
     each = []
     for pattern, name in L.UNITS:
-        end = "" if name in ("%", "°c") else "(?:$|[^a-z0-9_äöüß])" if name in ("bar", "mm") else ""
-        found = F.regexp_extract_all(t, F.lit(f"({L.NUMBER})\\s*(?:{pattern}){end}"), 1)
+        found = F.regexp_extract_all(t, F.lit(f"({L.NUMBER})\\s*(?:{pattern})"), 1)
         each.append(F.transform(found, _value_of(name)))
     return F.filter(F.flatten(F.array(*each)), lambda v: v["value"].isNotNull())
 
@@ -295,7 +294,7 @@ def procurement_words(text: Column) -> Column:
 
 def reason_signs(text: Column) -> Column:
     """Signs in the words of a reason: procurement, number, duty, contradiction."""
-    bare = F.regexp_replace(low(text), L.REFERENCE, "$1 ")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), "(?i)" + L.REFERENCE.replace(L.W[1:-1], "a-zA-Z0-9_äöüÄÖÜß"), "$1 ")
     contradicts = matches(text, L.CONTRADICTION) & ~matches(text, L.NO_CONTRADICTION)
     return F.filter(F.array(F.when(matches(text, L.PROCUREMENT), "procurement"), F.when(bare.rlike(L.NUMBER_NORM), "number"), F.when(matches(text, L.DUTY), "duty"), F.when(contradicts, "contradiction")), lambda x: x.isNotNull())
 
@@ -306,7 +305,7 @@ def grounded(hints: DataFrame, passages: DataFrame, least: float = 0.30) -> Data
     w = words_of(F.col("hint"), 4)
     j = hints.join(t, ["doc_id", "nr"], "left").withColumn("w", w)
     found = F.size(F.filter("w", lambda x: F.contains(F.coalesce(F.col("t"), F.lit("")), x)))
-    ok = ~matches(F.col("hint"), "(^|[^a-z0-9_])lhd-[0-9]") & (F.size("w") > 0) & (found >= least * F.size("w"))
+    ok = ~matches(F.col("hint"), L.FOREIGN_ID) & (F.size("w") > 0) & (found >= least * F.size("w"))
     return j.select("doc_id", "nr", F.size("w").alias("words"), found.alias("found"), ok.alias("ok"))
 
 
@@ -328,7 +327,7 @@ def placeholders(criteria: DataFrame, wide: bool = True) -> DataFrame:
 def reason_hints(verdicts: DataFrame, passages: DataFrame, criteria: DataFrame, reported: DataFrame) -> DataFrame:
     """(doc_id, nr, page, words, open): verdicts E whose reason has procurement words where the standard leaves the product open, with candidates, without a foreign id, not yet reported."""
     best = passages.groupBy("doc_id", "nr").agg(F.min_by("page", "rank").alias("best"), F.collect_set(F.col("page").cast("string")).alias("pages"))
-    v = verdicts.filter("status = 'E'").withColumn("words", procurement_words(F.col("reason"))).filter((F.size("words") > 0) & ~matches(F.col("reason"), "(^|[^a-z0-9_])lhd-[0-9]"))
+    v = verdicts.filter("status = 'E'").withColumn("words", procurement_words(F.col("reason"))).filter((F.size("words") > 0) & ~matches(F.col("reason"), L.FOREIGN_ID))
     j = v.join(best, ["doc_id", "nr"]).join(F.broadcast(placeholders(criteria, wide=False)), "nr").join(reported.select("doc_id", "nr"), ["doc_id", "nr"], "left_anti")
     said = F.regexp_replace(F.trim(F.coalesce("evidence", F.lit(""))), "^[Ss]+", "")
     page = F.when(F.array_contains("pages", said), said).otherwise(F.col("best").cast("string"))

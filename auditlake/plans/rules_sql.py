@@ -46,7 +46,7 @@ def is_cost(s: str) -> str:
     """Windows of words around each formula, from the pieces of the sentence between the formulas."""
     low = f"lower({s})"
     w = lambda t: f"regexp_extract_all({t}, {q(L.W + '+')})"
-    hits, pieces = f"regexp_extract_all({low}, {q(L.COSTS)})", f"regexp_split_to_array({low}, {q(L.COSTS)})"
+    hits, pieces = f"regexp_extract_all({low}, {q(COSTS)})", f"regexp_split_to_array({low}, {q(COSTS)})"
     left = f"array_to_string(list_transform(range(1, i + 1), lambda k: {pieces}[k] || CASE WHEN k < i THEN {hits}[k] ELSE '' END), '')"
     right = f"array_to_string(list_transform(range(i + 1, len({pieces}) + 1), lambda k: {pieces}[k] || coalesce({hits}[k], '')), '')"
     near = f"{w(right)}[1:4]"
@@ -77,12 +77,44 @@ def number(raw: str, counting: str) -> str:
     )
 
 
+# Fixed values, as the rules state them but for the form: words are told apart by splitting, not by edges in a pattern.
+UNITS = {"schuss": "schuss|abg[üu]ss|castings?|shots?|gießzyklen|zyklen", "hübe": "hübe|hub[^a-z0-9_äöüß]|strokes?", "hrc": "hrc", "khz": "khz", "bar": "bar[^a-z0-9_äöüß]", "°c": "°\\s?c", "mm": "mm[^a-z0-9_äöüß]", "%": "%"}
+COSTS = (
+    "zu lasten|in rechnung gestellt|in rechnung stellt|weiterberechne|weiterrechne|angelastet|nach aktuellem stundensatz|kostenpflichtig|fester betrag|pauschal[a-z0-9_äöüß]* betrag|vertragsstrafe|pönale|"
+    "kosten[a-z0-9_äöüß]*[^a-z0-9_äöüß](?:|.{0,58}[^a-z0-9_äöüß])(?:trägt|tragen|übernimmt|übernehmen|gehen)(?:[^a-z0-9_äöüß]|$)|at the expense|charged to"
+)
+ANYWHERE, WHOLE_WORDS = ["fabrikat", "hersteller", "lieferant", "typenbezeichnung"], ["firma", "marke"]
+NORMS = ["DIN", "EN", "ISO", "VDI", "VDA", "VDE", "SEP", "ASTM", "IEC"]
+DUTIES = ["nur", "ausschließlich", "ausschliesslich", "zwingend", "verpflichtet", "trägt", "übernimmt", "kosten", "garantie", "gewährleistung", "frist", "innerhalb", "spätestens", "wöchentlich", "zusätzlich", "mindestens", "maximal", "max.", "min."]
+
+
+def tokens(text: str, letters: str = "a-z0-9_äöüß") -> str:
+    return f"regexp_split_to_array({text}, '[^{letters}]+')"
+
+
+def procurement(text: str) -> str:
+    """Procurement words of a text, ascending."""
+    low = f"lower(coalesce({text}, ''))"
+    found = [f"CASE WHEN contains({low}, {q(w)}) THEN {q(w)} END" for w in ANYWHERE] + [f"CASE WHEN list_contains({tokens(low)}, {q(w)}) THEN {q(w)} END" for w in WHOLE_WORDS]
+    found.append(f"CASE WHEN list_contains({tokens(low, 'a-z0-9_äöüß.')}, 'fa.') OR len(list_filter({tokens(low, 'a-z0-9_äöüß.')}, lambda x: regexp_matches(x, '(^|[.])fa[.]'))) > 0 THEN 'fa.' END")
+    return f"list_sort(list_filter([{', '.join(found)}], lambda x: x IS NOT NULL))"
+
+
+def norm(text: str) -> str:
+    """A digit or a norm in capitals in a text as it is written."""
+    return f"(regexp_matches({text}, '[0-9]') OR list_has_any({tokens(text, 'a-zA-Z0-9_äöüÄÖÜß')}, {_list(NORMS)}))"
+
+
+def duty(text: str) -> str:
+    """A word that begins like one of duty."""
+    return f"len(list_filter({tokens(f'lower(coalesce({text}, {chr(39) * 2}))', 'a-z0-9_äöüß.')}, lambda x: " + " OR ".join(f"starts_with(x, {q(w)}) OR contains(x, {q('.' + w)})" for w in DUTIES) + ")) > 0"
+
+
 def values(rows: str, text: str, keys: str) -> str:
     """SELECT of keys, unit, raw, value, in order (ord) of unit and place."""
     parts = []
-    for k, (pattern, name) in enumerate(L.UNITS):
-        end = "(?:$|[^a-z0-9_äöüß])" if name in ("bar", "mm") else ""
-        found = f"regexp_extract_all(lower(coalesce({text}, '')), {q(f'({L.NUMBER})' + chr(92) + f's*(?:{pattern}){end}')}, 1)"
+    for k, (name, pattern) in enumerate(UNITS.items()):
+        found = f"regexp_extract_all(lower(coalesce({text}, '')) || ' ', {q(f'({L.NUMBER})' + chr(92) + f's*(?:{pattern})')}, 1)"
         parts.append(f"SELECT {keys}, {k} * 1000 + i AS ord, {q(name)} AS unit, r[i] AS raw, {'true' if name in L.COUNTING else 'false'} AS counting FROM (SELECT *, {found} AS r, unnest(range(1, len({found}) + 1)) AS i FROM {rows})")
     return f"SELECT * EXCLUDE (counting), {number('raw', 'counting')} AS value FROM ({' UNION ALL '.join(parts)})"
 
@@ -150,15 +182,15 @@ vv AS (SELECT * FROM ({values('ts', 'text', 'doc_id, nr, rank, page, spot')}) WH
 vsig AS (SELECT doc_id, nr, 'value' AS sign, raw || ' ' || unit AS found, CAST(CAST(trunc(least) AS BIGINT) AS VARCHAR) || '..' || CAST(CAST(trunc(most) AS BIGINT) AS VARCHAR) || ' ' || unit AS known, page FROM vv JOIN rng USING (nr, unit) WHERE value < least OR value > most QUALIFY row_number() OVER (PARTITION BY doc_id, nr ORDER BY rank, spot, ord) = 1),
 mm AS (SELECT doc_id, nr, rank, page, materials, i, m[i] AS found FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT p.doc_id, p.nr, rank, page, materials, {mats('text')} AS m FROM passages p JOIN mat ON p.nr = mat.nr WHERE rank <= 10))),
 msig AS (SELECT doc_id, nr, 'material' AS sign, found, array_to_string(materials, ', ') AS known, page FROM mm WHERE NOT list_contains(materials, found) QUALIFY row_number() OVER (PARTITION BY doc_id, nr ORDER BY rank, i) = 1)"""
-    bare = f"regexp_replace(lower(coalesce(reason, '')), {q(L.REFERENCE)}, '\\1 ', 'g')"
-    own = f"""list_filter([CASE WHEN {has('reason', L.PROCUREMENT)} THEN 'procurement' END, CASE WHEN regexp_matches({bare}, {q(L.NUMBER_NORM)}) THEN 'number' END, CASE WHEN {has('reason', L.DUTY)} THEN 'duty' END,
+    pw = procurement
+    bare = f"regexp_replace(coalesce(reason, ''), {q('(?i)' + L.REFERENCE)}, '\\1 ', 'g')"
+    own = f"""list_filter([CASE WHEN len({pw('reason')}) > 0 THEN 'procurement' END, CASE WHEN {norm(bare)} THEN 'number' END, CASE WHEN {duty('reason')} THEN 'duty' END,
   CASE WHEN {has('reason', L.CONTRADICTION)} AND NOT {has('reason', L.NO_CONTRADICTION)} THEN 'contradiction' END], lambda x: x IS NOT NULL)"""
-    pw = lambda t: f"list_sort(list_distinct(regexp_extract_all(lower({t}), {q(L.PROCUREMENT)})))"
     openp = f"(SELECT nr, array_to_string(list_filter(placeholders, lambda p: {has('p', L.PLACEHOLDER)}), ', ') AS open FROM crit WHERE len(list_filter(placeholders, lambda p: {has('p', L.PLACEHOLDER)})) > 0)"
     best = "pb AS (SELECT doc_id, nr, arg_min(page, rank) AS best, list(DISTINCT CAST(page AS VARCHAR)) AS pages FROM passages GROUP BY ALL)"
     said = "regexp_replace(trim(coalesce(evidence, ''), ' '), '^[Ss]+', '')"
     hints = f"""{best}, ht AS (SELECT doc_id, nr, 'S' || CASE WHEN list_contains(pages, {said}) THEN {said} ELSE CAST(best AS VARCHAR) END AS page, array_to_string({pw('reason')}, ',') AS words, open
-  FROM rs JOIN pb USING (doc_id, nr) JOIN {openp} o USING (nr) WHERE status = 'E' AND len({pw('reason')}) > 0 AND NOT {has('reason', '(^|[^a-z0-9_])lhd-[0-9]')})"""
+  FROM rs JOIN pb USING (doc_id, nr) JOIN {openp} o USING (nr) WHERE status = 'E' AND len({pw('reason')}) > 0 AND NOT {has('reason', L.FOREIGN_ID)})"""
     share = "shr AS (SELECT nr, round(count(*) FILTER (ref = 'A') / count(*)::DOUBLE, 4) AS share_a FROM v WHERE ref IN ('E', 'T', 'A') GROUP BY nr)"
     against = f"agn AS (SELECT nr, arg_min(text, pos) AS against FROM reqs WHERE field = 'required' AND {has('text', L.AFFECTED)} GROUP BY nr)"
     facts = f"""{marks}, {vs}, {hints}, {share}, {against},
@@ -236,6 +268,6 @@ SELECT doc_id, nr, CASE WHEN none THEN 'N' ELSE status END AS status, CASE WHEN
 fr AS (SELECT doc_id, nr, fact FROM (SELECT doc_id, nr, f, unnest(range(1, len(f) + 1)) AS i, f[i] AS fact FROM fq) WHERE NOT list_contains({_list(L.EVERYDAY)}, upper(fact)) QUALIFY row_number() OVER (PARTITION BY doc_id, nr, upper(fact) ORDER BY i) = 1)
 SELECT doc_id, nr, string_agg(fact, ',' ORDER BY fact) AS echo FROM fr WHERE NOT EXISTS (SELECT 1 FROM passages p WHERE p.doc_id = fr.doc_id AND p.nr = fr.nr AND contains(lower(p.text), lower(fact))) AND EXISTS (SELECT 1 FROM reqs WHERE reqs.nr = fr.nr AND contains(lower(reqs.text), lower(fact))) GROUP BY doc_id, nr""",
         "f19_grounded": f"""{rs}, pt AS (SELECT doc_id, nr, lower(string_agg(text, ' ' ORDER BY text)) AS t FROM passages GROUP BY ALL), w AS (SELECT doc_id, nr, reason, t, {words('reason', 4)} AS w FROM rs LEFT JOIN pt USING (doc_id, nr)),
-g AS (SELECT *, len(list_filter(w, lambda x: contains(coalesce(t, ''), x))) AS found FROM w) SELECT doc_id, nr, len(w) AS words, found, NOT {has('reason', '(^|[^a-z0-9_])lhd-[0-9]')} AND len(w) > 0 AND found >= 0.3 * len(w) AS ok FROM g""",
+g AS (SELECT *, len(list_filter(w, lambda x: contains(coalesce(t, ''), x))) AS found FROM w) SELECT doc_id, nr, len(w) AS words, found, NOT {has('reason', L.FOREIGN_ID)} AND len(w) > 0 AND found >= 0.3 * len(w) AS ok FROM g""",
         "x1_sections_kept": f"{sec} SELECT doc_id, count(*) AS sections, count(*) FILTER (NOT {is_contents('text')}) AS kept FROM sec GROUP BY doc_id",
     }

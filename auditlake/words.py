@@ -1,8 +1,10 @@
 """Word lists and patterns of the rules on German and English requirement texts.
 
 All are fixed values: results of the rules depend on each word. Patterns are for
-lower-case text (``rules.low``); they use nothing that Java's and RE2's dialects
-read differently, so that the same question can be asked in SQL.
+lower-case text (``rules.low``) where nothing else is said. The edge of a word is
+written as a character that isn't one of ``W`` (or the text's end), as ``\\b`` does not
+know umlauts in every dialect; COSTS, UNITS, PROCUREMENT, NUMBER_NORM and DUTY are
+stated anew, in another form, in the SQL that the rules are held against.
 """
 
 #: A letter or digit of a word, umlauts included.
@@ -25,7 +27,7 @@ BOUGHT_IN = "schieber|auswerfer|führung und zentrierung|entlüftung|vakuum|temp
 # Consequences of cost, who bears them, what is only an offer, negations and customers near a formula; cost in a standard.
 COSTS = (
     "zu lasten|in rechnung (?:ge)?stellt|weiter(?:be)?rechne|angelastet|nach aktuellem stundensatz|kostenpflichtig|(?:fester|pauschal[a-z0-9_äöüß]*) betrag|vertragsstrafe|pönale|"
-    "kosten[a-z0-9_äöüß]*[^a-z0-9_äöüß].{0,60}(?:trägt|tragen|übernimmt|übernehmen|gehen)|at the expense|charged to"
+    "kosten[a-z0-9_äöüß]*[^a-z0-9_äöüß](?:.{0,58}[^a-z0-9_äöüß])?(?:trägt|tragen|übernimmt|übernehmen|gehen)(?:$|[^a-z0-9_äöüß])|at the expense|charged to"
 )
 PARTY = "lieferant|auftragnehmer|formenbauer|werkzeugherstell|hersteller|supplier|contractor|(^|[^a-z0-9_])diese[mn]($|[^a-z0-9_])"
 OFFER = "angebot|kalkul|ausweisen|aufzuführen|quotation"
@@ -36,23 +38,24 @@ COST_IN_STANDARD = "kosten|zu lasten|preis|mehraufw"
 # Open wording, product placeholders, procurement, responsibility, contradiction, references, numbers and norms, duty.
 OPEN_WORDING = "herstellerneutral|nach freigabe|freigegeben|vereinbart|abgestimmt|nach r[üu]cksprache|nach absprache"
 PLACEHOLDER = "typ|fabrikat|hersteller|lieferant|marke|artikel"
-PROCUREMENT = "fa\\.|firma|fabrikat|hersteller|lieferant|marke|typenbezeichnung"
+PROCUREMENT = "(?<![a-z0-9_äöüß])fa\\.|(?<![a-z0-9_äöüß])firma(?![a-z0-9_äöüß])|fabrikat|hersteller|lieferant|(?<![a-z0-9_äöüß])marke(?![a-z0-9_äöüß])|typenbezeichnung"
 AFFECTED = "verantwort|zuständig|genehmig|zulässig|unzulässig|nur mit|nur nach|untersagt|verboten|obliegt|verbleibt|lieferumfang|ausgenommen"
 NEGATED_HINT = "^.{0,80}?[^a-z0-9_äöüß](kein[a-z0-9_äöüß]*|nicht|nichts|nein|n/?a|entf[äa]llt|unklar)($|[^a-z0-9_äöüß])|^(kein[a-z0-9_äöüß]*|nicht|nichts|nein|n/?a|entf[äa]llt|unklar)($|[^a-z0-9_äöüß])|nicht (anwendbar|zutreffend|relevant)"
 CONTRADICTION = "widerspr"
 NO_CONTRADICTION = "(nicht|kein[a-z0-9_äöüß]*|ohne)\\s+([a-z0-9_äöüß]+\\s+){0,3}widerspr|widerspruchsfrei|widerspricht\\s+([a-z0-9_äöüß]+\\s+){0,3}nicht"
 REFERENCE = "(^|[^a-z0-9_äöüß])((seiten?|s\\.?|abschnitt|kapitel|punkt|ziffer|z\\.|nr\\.|pos\\.)\\s*[0-9]+([.,][0-9]+)*)"
-NUMBER_NORM = "(^|[^a-z0-9_äöüß])(din|en|iso|vdi|vda|vde|sep|astm|iec)($|[^a-z0-9_äöüß])|[0-9]"
-DUTY = "(^|[^a-z0-9_äöüß])((nur|ausschlie(ß|ss)lich|zwingend|verpflichtet|trägt|übernimmt|kosten[a-z0-9_äöüß]*|garantie[a-z0-9_äöüß]*|gewährleistung[a-z0-9_äöüß]*|frist[a-z0-9_äöüß]*|innerhalb|spätestens|wöchentlich[a-z0-9_äöüß]*|zusätzlich[a-z0-9_äöüß]*|mindestens|maximal)($|[^a-z0-9_äöüß])|(max|min)\\.)"
+NUMBER_NORM = "(^|[^a-zA-Z0-9_äöüÄÖÜß])(DIN|EN|ISO|VDI|VDA|VDE|SEP|ASTM|IEC)($|[^a-zA-Z0-9_äöüÄÖÜß])|[0-9]"  # on text as it is written
+DUTY = "(^|[^a-z0-9_äöüß])(nur|ausschlie(ß|ss)lich|zwingend|verpflichtet|trägt|übernimmt|kosten|garantie|gewährleistung|frist|innerhalb|spätestens|wöchentlich|zusätzlich|mindestens|maximal|max\\.|min\\.)"
+FOREIGN_ID = "(^|[^a-z0-9_])lhd-[0-9]"
 CONNECTION_FAILED = "aufruf fehlgeschlagen"
 
 # Titles of lists of contents, words that make such a title part of a sentence, rows with a page number.
-CONTENTS_TITLE = "inhaltsverzeichnis|inhaltverzeichnis|inhalt|table of contents|abbildungsverzeichnis|tabellenverzeichnis|abkürzungsverzeichnis|revisionshistorie"
+CONTENTS_TITLE = "inhalts?verzeichnis|inhalt|table of contents|abbildungsverzeichnis|tabellenverzeichnis|abkürzungsverzeichnis|revisionshistorie"
 SENTENCE_WORDS = "im in das des der die dem den mit und was zum zur vom am auf für über ohne eines einer einem ein eine folgendem folgenden folgender ihrem ihren seinem seinen deren dessen of the with and".split()
 CONTENTS_ROW = "^\\s*[0-9]+(\\.[0-9]+)*\\.?\\s+\\S.{0,80}?(\\.{3,}|\\s{3,}|\\t)\\s*[0-9]{1,3}\\s*$"
 
 # Units of values (pattern after a number, name); those that count instead of measure.
-UNITS = [("schuss|abg(?:ü|u)ss[a-z0-9_äöüß]*|castings?|shots?|gießzyklen|zyklen", "schuss"), ("hübe|hub|strokes?", "hübe"), ("hrc", "hrc"), ("khz", "khz"), ("bar", "bar"), ("°\\s?c", "°c"), ("mm", "mm"), ("%", "%")]
+UNITS = [("schuss|abg(?:ü|u)ss[a-z0-9_äöüß]*|castings?|shots?|gießzyklen|zyklen", "schuss"), ("hübe|hub(?:$|[^a-z0-9_äöüß])|strokes?", "hübe"), ("hrc", "hrc"), ("khz", "khz"), ("bar(?:$|[^a-z0-9_äöüß])", "bar"), ("°\\s?c", "°c"), ("mm(?:$|[^a-z0-9_äöüß])", "mm"), ("%", "%")]
 COUNTING = ["schuss", "hübe"]
 NUMBER = "[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]+(?:[.,][0-9]+)?"
 MATERIAL = "1\\.[0-9]{4}"

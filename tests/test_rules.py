@@ -37,6 +37,18 @@ def test_costs(spark):
     assert over(spark, texts, R.is_cost) == [True, False, False, False, True, False, False, False, True]
 
 
+def test_edges_of_words(spark):
+    """Words within other words: as the published patterns have them, with edges where they have them and none elsewhere."""
+    costs = ["Die Kosten für den Lieferanten betragen 500 EUR.", "Der Lieferant ist mit den Kosten zu beauftragen.", "Die Kosten des Umbaus tragen Lieferant und Hersteller.", "Kosten trägt der Lieferant", "Kosten trägtx der Lieferant", "Die Herstellerkosten, gehen"]
+    assert over(spark, costs, R.is_cost) == [False, False, True, True, False, True]
+    signs = ["Eine maximale Härte und zwingende Vorgaben.", "Das ist nurmehr so", "Unfrist", "en detail", "nach EN Norm", "DIN", "dina4", "Seite 9 und S12", "S. 4,2 mit 7", "Max. Druck", "maxi", "Übermaximal"]
+    assert over(spark, signs, R.reason_signs) == [["duty"], ["duty"], [], [], ["number"], ["number"], ["number"], [], ["number"], ["duty"], [], []]
+    words = ["Markenname", "Das Sofa.", "Firmament", "Fa. Muster, Firma; Marke", "Fabrikatsbindung des Herstellers", "alfa.", None, "a.fa.", "Großfirma"]
+    assert over(spark, words, R.procurement_words) == [[], [], [], ["fa.", "firma", "marke"], ["fabrikat", "hersteller"], [], [], ["fa."], []]
+    values = ["5 Hubwerke", "5 Hub", "5 Hub, 7 Hübe", "3 Barren", "3 bar", "4 mmx", "4 mm 5 mm", "150 Abgüsse"]
+    assert [[(v.unit, v.value) for v in x] for x in over(spark, values, R.values)] == [[], [("hübe", 5.0)], [("hübe", 5.0), ("hübe", 7.0)], [], [("bar", 3.0)], [], [("mm", 4.0), ("mm", 5.0)], [("schuss", 150.0)]]
+
+
 def test_vendors(spark):
     texts = ["Es sind nur Normalien von HASCO zu verwenden.", "Normalien von HASCO oder gleichwertig verwenden.", "Hascos sind nur gut.", "Hydraulics must be Rexroth.", None]
     assert over(spark, texts, R.is_binding) == [True, False, False, True, False]
