@@ -112,6 +112,19 @@ def liveness(events: DataFrame) -> DataFrame:
     return last.select("user_id", s.alias("silent_s"), F.when(s < F.when(F.col("n") > 1, K.SILENCE_S).otherwise(K.START_S), "running").otherwise("dead").alias("state"))
 
 
+def state_changes(events: DataFrame, late_s: int = 0) -> DataFrame:
+    """(user_id, at, state): every change of a run between running and dead up to ``late_s`` before the last event, as the stream of the same events finds them."""
+    us = events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    mark = us.agg(((F.floor(F.max("us") / 1000) - late_s * 1000) * 1000).cast("long").alias("mark"))  # one row
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = us.crossJoin(F.broadcast(mark)).filter("us < mark").withColumn("n", F.row_number().over(w))
+    e = e.withColumn("end", F.col("us") + F.when(F.col("n") > 1, K.SILENCE_S).otherwise(K.START_S) * 1_000_000)
+    e = e.withColumns({"next": F.lead("us").over(w), "was": F.lag("end").over(w)})
+    dead = e.filter(F.coalesce(F.col("end") <= F.col("next"), F.col("end") <= F.col("mark"))).select("user_id", F.col("end").alias("us"), F.lit("dead").alias("state"))
+    running = e.filter("was is null or was <= us").select("user_id", "us", F.lit("running").alias("state"))
+    return running.union(dead).select("user_id", F.timestamp_micros("us").alias("at"), "state")
+
+
 def sessions(events: DataFrame, gap_s: int = 1800) -> DataFrame:
     """(user_id, sessions, longest): runs of events without a gap above ``gap_s`` seconds."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
