@@ -1,9 +1,7 @@
-"""Runs as a table: states, listing, resuming, conditions; selection of the corpus; topics and chapters by similarity."""
+"""Runs as a table: states, listing, resuming, conditions; selection of the corpus."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,47 +60,3 @@ def corpus_part(docs: DataFrame, part: str, held_out: list, sample: list) -> Dat
     if part == "training":
         return docs.join(F.broadcast(ids(held_out)), "doc_id", "left_anti")
     return docs.join(F.broadcast(ids(held_out if part == "held_out" else sample)), "doc_id", "left_semi")
-
-
-def complete_linkage(vectors: np.ndarray, most: float) -> np.ndarray:
-    """Groups by agglomerative clustering: the nearest two groups join while their farthest members are within ``most`` (1 - cosine)."""
-    v = vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + 1e-10)
-    d = 1 - v @ v.T
-    np.fill_diagonal(d, np.inf)
-    own = np.arange(len(v))
-    while len(d) > 1:
-        i, j = divmod(int(d.argmin()), len(d))
-        if d[i, j] > most:
-            break
-        i, j = min(i, j), max(i, j)
-        d[i] = d[:, i] = np.maximum(d[i], d[j])
-        d[i, i] = np.inf
-        d[j] = d[:, j] = np.inf
-        own[own == j] = i
-    return np.unique(own, return_inverse=True)[1]
-
-
-def topic_groups(titles: DataFrame, most: float = 0.35) -> DataFrame:
-    """(key, topic, grp): titles (key, topic, v) of one key grouped by likeness. The titles of a template are hundreds; a key is one task's work."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("topic", kind="stable")
-        g = complete_linkage(np.stack(pdf.v.to_numpy()), most) if len(pdf) else np.zeros(0, int)
-        return pd.DataFrame({"key": pdf.key, "topic": pdf.topic, "grp": g})
-
-    return titles.groupBy("key").applyInPandas(run, "key string, topic string, grp long")
-
-
-def chapters(topics: DataFrame, seed: int = 0) -> DataFrame:
-    """(topic, chapter): topics (topic, v) by k-means, k from their number: an eighth, three at least, ten at most."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    n = topics.count()
-    if not n:
-        return topics.select("topic", F.lit(None).cast("int").alias("chapter"))
-    k = max(1, min(n, 10, max(3, round(n / 8))))
-    data = topics.orderBy("topic").select("topic", array_to_vector("v").alias("features"))
-    if k == 1 or n == 1:
-        return data.select("topic", F.lit(0).alias("chapter"))
-    return KMeans(k=k, seed=seed, maxIter=50).fit(data).transform(data).select("topic", F.col("prediction").alias("chapter"))

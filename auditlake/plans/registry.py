@@ -22,7 +22,7 @@ from ..operators import text as T
 from ..sources import package
 from ..sources import standins as I
 from ..sources.standins import table, verdicts
-from . import rules_sql, running, sql
+from . import building, rules_sql, running, sql
 
 #: Frequent function words in four languages.
 FREQUENT = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "der", "die", "und", "das", "ist", "mit", "auf", "für", "den", "von", "les", "des", "est", "pour", "dans", "que", "los", "del", "una", "para", "con", "por"]
@@ -197,8 +197,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k14_cases": _on_audit(_cases),
     "k3_train_ranker": lambda spark, sf_dir: _ranked(spark, sf_dir),
     "s18_sections_seen": _on_passages(lambda p: p.groupBy("doc_id").agg(F.count_distinct("page", F.substring("text", 1, 40)).alias("sections"), F.count("*").alias("passages"))),
-    "a23_chapters": lambda spark, sf_dir: package.send(spark) or J.chapters(M.template_headings(M.lines_of(I.outlines(spark, sf_dir))).select(F.lower("title").alias("topic")).distinct().withColumn("v", S.embedded("topic"))),
-    "a21_topic_groups": lambda spark, sf_dir: package.send(spark) or J.topic_groups(M.template_headings(M.lines_of(I.outlines(spark, sf_dir))).select(F.substring_index(F.lower("title"), " ", 1).alias("key"), F.lower("title").alias("topic")).distinct().withColumn("v", S.embedded("topic"))),
     "p6_bullets": _on_passages(lambda p: p.select("doc_id", "nr", "rank", F.posexplode(R.split_sentences(F.col("text"))).alias("pos", "sentence"))),
     "f1_contents": _on_passages(lambda p: p.select("doc_id", "nr", "rank", R.is_contents(F.col("text")).alias("is_contents"))),
     "f7_cost_sentences": _on_passages(lambda p: R.sentence_signs(p).drop("page", "score")),
@@ -254,7 +252,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "liveness": _on("events", V.liveness),
     "sessions": _on("events", V.sessions),
     **running.QUERIES,
+    **building.QUERIES,
 }
 
 ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)
 ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(K, source), rules_sql.is_contents)
+ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])

@@ -13,6 +13,7 @@ from auditlake.operators import provider as A
 from auditlake.operators import rules as R
 from auditlake.operators import search as S
 from auditlake.operators import template as M
+from auditlake.operators import topics as TP
 from auditlake.sources import files
 
 
@@ -211,9 +212,9 @@ def test_corpus_parts_and_resuming(spark):
     assert sorted(r.doc_id for r in J.to_do(a, d, ["model", "n"]).collect()) == [2, 3]
 
 
-def test_complete_linkage():
+def test_complete_linkage_small():
     v = np.array([[1, 0], [0.99, 0.1], [0.9, 0.44], [0, 1], [0.05, 1]])
-    g = J.complete_linkage(v, 0.05)
+    g = TP.complete_linkage(v, 0.05)
     assert g[0] == g[1] != g[2] and g[3] == g[4] != g[0]
 
 
