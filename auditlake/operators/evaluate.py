@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from .. import words as L
+from ..functions import statistics as ST
 from ..functions.columns import share
 
 STATUSES = ["E", "T", "A", "N"]
@@ -70,16 +71,15 @@ def baselines(v: DataFrame) -> DataFrame:
 
 
 def mcnemar(v: DataFrame) -> DataFrame:
-    """Paired test of two runs on raw statuses: both right, one alone, none, chi-square with continuity, exact binomial p."""
+    """Paired test of two runs on raw statuses: both right, one alone, none, chi-square with continuity and its p, exact binomial p, whether the difference is significant (by the exact p below 25 differing cases)."""
     right, other = F.coalesce(F.col("status") == F.col("ref"), F.lit(False)), F.coalesce(F.col("other") == F.col("ref"), F.lit(False))
     c = v.filter("ref is not null").agg(F.count_if(right & other).alias("both"), F.count_if(right & ~other).alias("only_a"), F.count_if(~right & other).alias("only_b"), F.count_if(~right & ~other).alias("neither"))
     a, b = F.col("only_a"), F.col("only_b")
-    gap = F.greatest(F.abs(a - b) - 1, F.lit(0))
-    n, low = (a + b).cast("int"), F.least(a, b).cast("int")
-    # log of the binomial coefficients by sums of logs, all terms of the tail
-    log_c = lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, j: s + F.when(j > 0, F.log((n - j + 1).cast("double") / j)).otherwise(0.0))
-    tail = F.aggregate(F.sequence(F.lit(0), low), F.lit(0.0), lambda s, i: s + F.exp(log_c(i) - n * F.log(F.lit(2.0))))
-    return c.withColumns({"chi2": F.round(F.coalesce(F.try_divide((gap * gap).cast("double"), a + b), F.lit(0.0)), 6), "p_exact": F.round(F.least(F.lit(1.0), 2 * tail), 6)})
+    gap = F.greatest(F.abs(a - b) - 1, F.lit(0)).cast("double")
+    chi2 = F.coalesce(F.try_divide(gap * gap, a + b), F.lit(0.0))
+    exact = F.when(a + b == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * ST.binomial_tail(a + b, F.least(a, b))))
+    out = c.withColumn("chi2", chi2).withColumns({"p": ST.chi_square_p(F.col("chi2")), "p_exact": exact})
+    return out.withColumns({"significant": (a + b > 0) & (F.when(a + b < 25, F.col("p_exact")).otherwise(F.col("p")) < 0.05), **{x: F.round(x, 6) for x in ("chi2", "p", "p_exact")}})
 
 
 def weights(v: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from ..operators import text as T
 from ..sources import package
 from ..sources import standins as I
 from ..sources.standins import table, verdicts
-from . import building, rules_sql, running, sql
+from . import building, grounded, rules_sql, running, sql
 
 #: Frequent function words in four languages.
 FREQUENT = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "der", "die", "und", "das", "ist", "mit", "auf", "für", "den", "von", "les", "des", "est", "pour", "dans", "que", "los", "del", "una", "para", "con", "por"]
@@ -253,8 +253,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sessions": _on("events", V.sessions),
     **running.QUERIES,
     **building.QUERIES,
+    **grounded.QUERIES,
 }
 
 ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)
 ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(K, source), rules_sql.is_contents)
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
+ORACLES |= grounded.oracles()

@@ -159,9 +159,12 @@ h AS (SELECT *, coalesce(CASE WHEN tp + fp > 0 THEN tp::DOUBLE / (tp + fp) END,
 SELECT klass, doc_id, n, hits, tp, fp, fn, round(pr, 6) AS precision, round(rc, 6) AS recall, round(coalesce(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) END, 0.0), 6) AS f1, {share('hits', 'n')} AS match FROM h""",
         "a5_baselines": f"{v} SELECT {share(chr(99) + 'ount(*) FILTER (ref = ' + repr('E') + ')', 'count(*)')} AS always_e, {share('count(*) FILTER (ref = ' + repr('N') + ')', 'count(*)')} AS always_n FROM v WHERE ref IS NOT NULL",
         "a6_mcnemar": f"""{v}, x AS (SELECT coalesce(status = ref, false) AS a, coalesce(other = ref, false) AS b FROM v WHERE ref IS NOT NULL),
-c4 AS (SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM x)
-SELECT *, round(coalesce(CASE WHEN only_a + only_b > 0 THEN greatest(abs(only_a - only_b) - 1, 0) ** 2 / (only_a + only_b)::DOUBLE END, 0.0), 6) AS chi2,
-round(least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM (SELECT only_a + only_b AS n, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM c4))), 6) AS p_exact FROM c4""",
+c4 AS (SELECT count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b, count(*) FILTER (NOT a AND NOT b) AS neither FROM x),
+x2 AS (SELECT *, coalesce(CASE WHEN only_a + only_b > 0 THEN greatest(abs(only_a - only_b) - 1, 0) ** 2 / (only_a + only_b)::DOUBLE END, 0.0) AS chi2 FROM c4),
+-- the upper tail of the normal distribution by Simpson's rule, from sqrt(chi2) on over ten units
+sf AS (SELECT 2 * sum(CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-((sqrt(chi2) + i * 0.0005) ** 2) / 2) / sqrt(2 * pi())) * 0.0005 / 3 AS p FROM (SELECT chi2, unnest(range(0, 20001)) AS i FROM x2)),
+ex AS (SELECT least(1.0, coalesce(2 * (SELECT sum(exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) - n * ln(2.0))) FROM (SELECT only_a + only_b AS n, unnest(range(0, least(only_a, only_b) + 1)) AS i FROM c4)), 1.0)) AS p_exact)
+SELECT "both", only_a, only_b, neither, round(chi2, 6) AS chi2, round(p, 6) AS p, round(p_exact, 6) AS p_exact, only_a + only_b > 0 AND CASE WHEN only_a + only_b < 25 THEN p_exact ELSE p END < 0.05 AS significant FROM x2, sf, ex""",
         "a7_damage": f"""{v}, {w}, worst AS (SELECT ref, max(weight) AS worst FROM w GROUP BY ref), s AS (SELECT count(*) AS n, sum(weight) AS damage, sum(worst) AS worst FROM {known} x JOIN w ON x.ref = w.ref AND x.model_status = w.found JOIN worst ON worst.ref = x.ref)
 SELECT n, round(damage::DOUBLE, 6) AS damage, {share('damage', 'n')} AS per_case, round(worst::DOUBLE, 6) AS worst, round(1 - coalesce(CASE WHEN worst <> 0 THEN damage::DOUBLE / worst END, 0.0), 6) AS goodness FROM s""",
         "a7_damage_classes": f"""{v}, {w}, g AS (SELECT CASE {' '.join(f"WHEN w.ref || w.found IN ({', '.join(repr(c) for c in cells)}) THEN '{kind}'" for kind, cells in k.ERROR_KINDS.items())} END AS kind, count(*) AS n, sum(weight)::DOUBLE AS points FROM {known} x JOIN w ON x.ref = w.ref AND x.model_status = w.found GROUP BY ALL)
