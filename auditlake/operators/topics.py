@@ -140,7 +140,7 @@ def nearest_chapters(topics: DataFrame, blocks: int = 16) -> DataFrame:
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"topic": [], "near": [], "chapter": [], "dot": []})
+            return pd.DataFrame({"topic": a.topic[:0], "near": a.topic[:0], "chapter": a.topic[:0], "dot": np.zeros(0)})
         b = b.sort_values("topic", kind="stable")
         dots = np.round(np.stack(a.v.to_numpy()) @ np.stack(b.v.to_numpy()).T, 9)
         at = dots.argmax(axis=1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as K
 from .. import words as L
+from ..functions import tables
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import evidence as V
@@ -160,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "x7_statement_references": lambda spark, sf_dir: package.send(spark) or S.statement_references(I.requirements(spark, sf_dir), I.with_terms(I.criteria(spark, sf_dir))),
     "p2_paged_sections": _on_outlines(T.sections),
     "p3_chapter_sections": _on_outlines(lambda d: M.chapter_sections(M.lines_of(d), with_title=True)),
+    "p3_chapter_chunks": lambda spark, sf_dir: package.send(spark) or tables.chapter_chunks(M.lines_of(I.outlines(spark, sf_dir))),
     "p4_headings": _on_outlines(lambda d: M.headings(M.lines_of(d))),
     "p5_headings": _on_outlines(lambda d: M.template_headings(M.lines_of(d))),
     "a21_topic_parts": _on_outlines(lambda d: M.split_repeats(M.template_headings(M.lines_of(d)))),
@@ -260,3 +262,4 @@ ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)
 ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(K, source), rules_sql.is_contents)
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
 ORACLES |= grounded.oracles()
+ORACLES["p3_chapter_chunks"] = ORACLES["p3_chapter_sections"]
