@@ -7,9 +7,11 @@ word, seen or not, belongs to one of ``CLASSES`` classes by its last two bytes;
 model is so of a fixed size whatever the vocabulary. A word of a class has the
 probability of the class's symbol times (c + 1) / (N' + V' + 1), with the counts of
 the class. Expected counts of transitions and emissions are added up by symbol in
-the cluster in each of ``ROUNDS`` rounds over all training texts (in stretches of
-``STRETCH`` tokens); the first round starts from clusters of a bounded sample of
-texts, which only breaks the symmetry of the states.
+the cluster in each of ``ROUNDS`` rounds over all training texts, each of them whole
+(stretches of ``STRETCH`` tokens are only worked on side by side: what stands before and
+after them in the text comes in as the product of its steps). The first round starts from
+clusters of ``START_TEXTS`` different texts by hash, which only breaks the symmetry of the
+states. Nothing depends on the order or the layout of the rows but the last digits of sums.
 
 Counts of the words outside the head never leave the cluster: texts and counts
 meet in a join by word, a text with the words it has, not with its tokens.
@@ -17,7 +19,7 @@ meet in a join by word, a text with the words it has, not with its tokens.
 Defined cases: null, empty and white texts are the end alone; without training
 texts all counts are 0 and the states emit all symbols alike; repeated rows count
 and are scored each; equal texts have equal scores (ties); very long texts are scored
-whole (in training they are cut like all others); other columns are not read; an empty
+and trained on whole; other columns are not read; an empty
 table gives an empty result.
 """
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 STATES, HEAD, CLASSES, ROUNDS, STRETCH = 8, 49_152, 16_384, 4, 128
-#: Training texts that the states' first emissions are clustered from, and symbols used for that.
+#: Different training texts that the states' first emissions are clustered from, and symbols used for that.
 START_TEXTS, START_SYMBOLS = 400, 2048
 PRIOR = 200.0
 END = 1  # stands for the end among the hashes of words
@@ -159,34 +161,83 @@ class Model:
         back[order] = out
         return back
 
-    def expected(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of stretches (forward-backward, all stretches a step at a time)."""
+    def _ends(self, parts: list[np.ndarray], doc: np.ndarray, place: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch the scaled forward vector at the end of the one before it, and the backward vector at its own end.
+
+        The steps of a stretch are one matrix, so that all stretches are multiplied side by side; the vectors then go from stretch to stretch.
+        """
+        k, inner = len(self.start), np.flatnonzero(place > 0)
+        before, after = np.zeros((len(parts), k)), np.ones((len(parts), k))
+        if not len(inner):
+            return before, after
+        size = np.array([len(parts[i]) for i in inner], np.int64)
+        order = np.argsort(-size, kind="stable")
+        first, flat = np.cumsum(size[order]) - size[order], np.concatenate([parts[inner[i]] for i in order]).astype(np.int64)
+        live = np.searchsorted(-size[order], -np.arange(int(size.max())), side="left").tolist()
+        product = np.broadcast_to(np.eye(k, dtype=self.emit.dtype), (len(inner), k, k)).copy()
+        for t, n in enumerate(live):
+            e = self.emit[flat[first[:n] + t]]
+            step = (product[:n].reshape(n * k, k) @ self.move).reshape(n, k, k) * (e / e.max(axis=1, keepdims=True))[:, None, :]
+            product[:n] = step / step.sum(axis=(1, 2), keepdims=True) if t % 4 == 3 else step
+        steps = np.zeros((len(parts), k, k))
+        steps[inner[order]] = product
+        at = np.searchsorted(doc, np.arange(len(many)))  # the first stretch of each text
+        long = np.flatnonzero(many > 1)
+        long = long[np.argsort(-many[long], kind="stable")]
+        a = np.zeros((len(long), k))
+        heads = [parts[i] for i in at[long]]
+        for t in range(STRETCH):  # all of them are full
+            e = self.emit[np.array([h[t] for h in heads], np.int64)]
+            a = (self.start if t == 0 else a @ self.move) * e
+            a = a / a.sum(axis=1, keepdims=True)
+        left = np.searchsorted(-many[long], -np.arange(int(many.max()) + 1), side="left").tolist()  # texts with more than s stretches
+        for s in range(1, int(many.max())):
+            n = left[s]
+            i = at[long[:n]] + s
+            before[i] = a[:n]
+            a = (a[:n, None, :] @ steps[i])[:, 0]
+            a /= a.sum(axis=1, keepdims=True)
+        for s in range(int(many.max()) - 1, 0, -1):
+            i = at[long[: left[s]]] + s
+            b = (steps[i] @ after[i][:, :, None])[:, :, 0]
+            after[i - 1] = b / (before[i] * b).sum(axis=1, keepdims=True)
+        return before, after
+
+    def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected starts, moves and emissions of whole texts (forward-backward). Texts are worked on in stretches side by side, a step at a time, with the vectors that the rest of the text gives their ends."""
         k = len(self.start)
+        many = np.array([-(-len(t) // STRETCH) for t in texts], np.int64)
+        parts = [t[x : x + STRETCH] for t in texts for x in range(0, len(t), STRETCH)]
+        doc = np.repeat(np.arange(len(texts)), many)
+        place = np.arange(len(parts)) - np.repeat(np.cumsum(many) - many, many)
+        before, after = self._ends(parts, doc, place, many)
         size = np.array([len(p) for p in parts], np.int64)
         order = np.argsort(-size, kind="stable")
+        before, after, inner = before[order].astype(self.emit.dtype), after[order].astype(self.emit.dtype), place[order] > 0
         first = np.concatenate([[0], np.cumsum(size[order])])[:-1]
         flat = np.concatenate([parts[i] for i in order]).astype(np.int64)
         live = np.searchsorted(-size[order], -np.arange(int(size.max())), side="left").tolist()
-        alphas, probs, a = [], [], None
+        alphas, probs, a = [], [], np.where(inner[:, None], before @ self.move, self.start)
         for t, n in enumerate(live):
             e = self.emit[flat[first[:n] + t]]
-            a = (self.start if a is None else a[:n] @ self.move) * e
+            a = (a if t == 0 else a[:n] @ self.move) * e
             c = a.sum(axis=1, keepdims=True)
             a = a / c
             alphas.append(a)
             probs.append(e / c)
         moves, gamma = np.zeros((k, k)), np.empty((len(flat), k), self.emit.dtype)
-        beta = np.ones((live[-1], k), self.emit.dtype)
+        beta = after[: live[-1]]
         for t in range(len(live) - 1, -1, -1):
             n = live[t]
             if t + 1 < len(live):
                 m = live[t + 1]
                 w = probs[t + 1] * beta
                 moves += alphas[t][:m].T @ w
-                beta = np.concatenate([w @ self.move.T, np.ones((n - m, k), self.emit.dtype)])
+                beta = np.concatenate([w @ self.move.T, after[m:n]])
             gamma[first[:n] + t] = alphas[t] * beta
+        moves += before[inner].T @ (probs[0] * beta)[inner]
         emits = np.stack([np.bincount(flat, gamma[:, j], _SYMBOLS) for j in range(k)], axis=1)
-        return gamma[first].sum(axis=0), moves * self.move, emits
+        return gamma[first[~inner]].sum(axis=0), moves * self.move, emits
 
     def better(self, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, unigram: np.ndarray) -> Model:
         s, m = starts + 1, moves + 1
@@ -212,11 +263,7 @@ def _expected(sent):
         model: Model = sent.value
         sums = None
         for b in _held(batches, 1 << 18):
-            parts = []
-            for raw in b.column("symbols").to_pylist():
-                s = np.frombuffer(raw, "<u2")
-                parts += [s[a : a + STRETCH] for a in range(0, len(s), STRETCH)]
-            new = model.expected(parts)
+            new = model.expected([np.frombuffer(raw, "<u2") for raw in b.column("symbols").to_pylist()])
             sums = new if sums is None else tuple(x + y for x, y in zip(sums, new))
         if sums is not None:
             starts, moves, emits = sums
@@ -232,12 +279,22 @@ _G = [f"g{j}" for j in range(STATES)]
 _G_SCHEMA = "id int, " + ", ".join(f"{g} double" for g in _G)
 
 
-def first_model(texts: list[np.ndarray], unigram: np.ndarray) -> Model:
-    """States from clusters of the sample's texts: farthest texts first, then means."""
-    rows = np.zeros((len(texts), START_SYMBOLS))
-    for i, t in enumerate(texts):
-        t = t[t < START_SYMBOLS]
-        rows[i] = np.bincount(t, minlength=START_SYMBOLS)
+def _start_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [np.bincount(x[x < START_SYMBOLS], minlength=START_SYMBOLS).astype("<i4").tobytes() for x in (np.frombuffer(raw, "<u2") for raw in b.column("symbols").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(rows, pa.binary())], names=["h", "counts"])
+
+
+def start_sample(training: DataFrame) -> np.ndarray:
+    """Counts of the first symbols of the ``START_TEXTS`` different texts with the smallest hashes, a row a text: the same ones whatever the layout."""
+    hashed = training.select(F.xxhash64("symbols").alias("h"), "symbols")
+    few = hashed.select("h").distinct().orderBy("h").limit(START_TEXTS)
+    rows = hashed.join(F.broadcast(few), "h").mapInArrow(_start_counts, "h long, counts binary").groupBy("h").agg(F.min("counts").alias("counts")).orderBy("h").collect()  # START_TEXTS rows of 8 KB
+    return np.stack([np.frombuffer(r.counts, "<i4") for r in rows]).astype(float) if rows else np.zeros((0, START_SYMBOLS))
+
+
+def first_model(rows: np.ndarray, unigram: np.ndarray) -> Model:
+    """States from clusters of the sample's counts: farthest texts first, then means."""
     share = (rows + unigram[:START_SYMBOLS] * 5) / (rows + unigram[:START_SYMBOLS] * 5).sum(axis=1, keepdims=True)
     root = np.sqrt(share)
     centres = root[[int(rows.sum(axis=1).argmax())]]
@@ -258,12 +315,12 @@ def first_model(texts: list[np.ndarray], unigram: np.ndarray) -> Model:
 def train(encoded: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training texts."""
     spark = encoded.sparkSession
-    training = encoded.filter("not held_out").select("row", "symbols")
-    few = training.orderBy(F.xxhash64("row"), "row").limit(START_TEXTS).collect()
+    training = encoded.filter("not held_out").select("symbols")
+    few = start_sample(training)
     unigram = v.unigram()
-    if not few:
+    if not len(few):
         return Model(np.full(STATES, 1 / STATES, np.float32), np.full((STATES, STATES), 1 / STATES, np.float32), np.tile(unigram[:, None], (1, STATES)).astype(np.float32))
-    model = first_model([np.frombuffer(r.symbols, "<u2") for r in few], unigram)
+    model = first_model(few, unigram)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model)
         sums = training.select("symbols").mapInArrow(_expected(sent), _G_SCHEMA).groupBy("id").agg(*(F.sum(g).alias(g) for g in _G)).toArrow()  # a row a symbol: bounded

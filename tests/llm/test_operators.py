@@ -170,6 +170,46 @@ def test_forward_and_baum_welch():
     assert stretched.log10(seqs).sum() == before
 
 
+def test_expected_counts_of_whole_texts(monkeypatch):
+    """Starts, moves and emissions over whole texts in plain Python, whatever the stretches."""
+    r = np.random.default_rng(3)
+    k = 4
+    start, move, emit = r.dirichlet(np.ones(k)), r.dirichlet(np.ones(k), k), np.zeros((hmm_lm._SYMBOLS, k))
+    emit[:9] = r.dirichlet(np.ones(9), k).T
+    model = hmm_lm.Model(start, move, emit)
+    texts = [r.integers(0, 9, n).astype(np.uint16) for n in (1, 7, 8, 9, 24, 25, 300, 8)]
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros((9, k))
+    for x in texts:
+        a = [start * emit[x[0]]]
+        for s in x[1:]:
+            a.append(a[-1] @ move * emit[s])
+            a[-1] /= a[-1].sum()
+        b = [np.ones(k)]
+        for s in x[:0:-1]:
+            b.append(move @ (emit[s] * b[-1]))
+            b[-1] /= b[-1].sum()
+        b = b[::-1]
+        for t, s in enumerate(x):
+            g = a[t] * b[t]
+            emits[s] += g / g.sum()
+            if t == 0:
+                starts += g / g.sum()
+            if t + 1 < len(x):
+                m = a[t][:, None] * move * (emit[x[t + 1]] * b[t + 1])[None]
+                moves += m / m.sum()
+    for stretch in (8, 5, 1, 1000):
+        monkeypatch.setattr(hmm_lm, "STRETCH", stretch)
+        got = model.expected(texts)
+        assert np.allclose(got[0], starts) and np.allclose(got[1], moves) and np.allclose(got[2][:9], emits)
+
+
+def test_language_model_does_not_depend_on_the_layout(spark):
+    r = random.Random(8)
+    rows = [(i, prose(r.randint(0, 400), r=r)) for i in range(150)]
+    one, other = ({x.doc_id: x.score for x in hmm_lm.likelihoods(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()} for n in (1, 7))
+    assert max(abs(one[i] - other[i]) for i in one) < 0.01
+
+
 def test_fingerprints(docs, rows, empty, spark):
     order = sorted(((r[0] is not None, r[0] or 0, r[1] or "") for r in rows))
     got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in iblt.fingerprints(docs).collect()))
