@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -171,12 +171,15 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int, id_col: str =
     parts, n = C.in_ranges(slim)
     dealt = parts.repartitionById(n, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
     bits = width(encode.vocabulary(tokenizer))
-    files = dealt.mapInArrow(_write(folder, tokenizer, end, bits), "part int, seq int, file string, n_ids long").collect()  # one row a file
+    listing = C.saved(dealt.mapInArrow(_write(folder, tokenizer, end, bits), "part int, seq int, file string, n_ids long"), "listing")
     rows, start = [], 0
-    for r in sorted(files):
-        rows.append((r.part, f"{folder}/{r.file}", start, r.n_ids))
+    for r in listing.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).orderBy("part").collect():  # a row a range: C.in_ranges bounds them
+        rows.append((r.part, start))
         start += r.n_ids
-    return spark.createDataFrame(rows, "part int, file string, start long, n_ids long")
+    starts = spark.createDataFrame(rows, "part int, before long")
+    earlier = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    here = listing.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(F.broadcast(starts), "part")
+    return here.select("part", F.concat(F.lit(f"{folder}/"), "file").alias("file"), (F.col("before") + F.col("earlier")).alias("start"), "n_ids")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
