@@ -33,6 +33,8 @@ from . import common as C
 from . import labelled
 
 SAMPLE, ORDER, DISCOUNT = 300, 4, 0.75
+#: Bytes of text that the sample of a language has at most.
+SAMPLE_BYTES = 16 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _LETTER = np.zeros(0x110000, np.int8)  # 0: not known yet, 1: letter, 2: none
@@ -201,16 +203,19 @@ class Models:
 
 
 def sample(docs: DataFrame, bound: int = SAMPLE, fold: int = 2, of: int = 4) -> tuple[list[str], list[list[str]]]:
-    """Languages and at most ``bound`` training texts of each, the same ones each time."""
+    """Languages and at most ``bound`` different training texts of each, of ``SAMPLE_BYTES`` together (the first may be larger), the same ones each time. Rows that repeat id and text count once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
-    rows = rows.filter(~labelled.held_out(F.col("doc_id"), fold, of))
+    rows = rows.filter(~labelled.held_out(F.col("doc_id"), fold, of)).withColumn("h", F.xxhash64("text"))
     # The smallest hashes of each language; tasks cut to ``bound`` rows a language before anything is exchanged.
-    ids = rows.select("lang", "doc_id").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("k") <= bound)
-    picked = ids.select("lang", "doc_id").distinct()
-    got = rows.join(F.broadcast(picked), ["lang", "doc_id"]).collect()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    ids = rows.groupBy("lang", "doc_id", "h").agg(F.min(F.octet_length("text")).alias("size")).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= bound)
+    ids = ids.withColumn("bytes", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("k") == 1) | (F.col("bytes") <= SAMPLE_BYTES))
+    picked = ids.select(F.col("lang"), F.col("doc_id").alias("_id"), F.col("h"))
+    same = (rows.lang == picked.lang) & (rows.h == picked.h) & rows.doc_id.eqNullSafe(picked["_id"])
+    got = rows.join(F.broadcast(picked), same, "left_semi").groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text")).collect()  # bound rows a language
     got.sort(key=lambda r: (r.lang, r.doc_id is not None, r.doc_id or 0, r.text))
     langs = sorted({r.lang for r in got})
-    return langs, [[r.text for r in got if r.lang == lang][: 2 * bound] for lang in langs]
+    return langs, [[r.text for r in got if r.lang == lang] for lang in langs]
 
 
 def train(docs: DataFrame) -> Models:

@@ -9,7 +9,7 @@ import compare
 import numpy as np
 import pytest
 
-from auditlake.llm import fill_middle, line_dedup, queries, source_audit
+from auditlake.llm import fill_middle, langid_kn, line_dedup, queries, source_audit
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, h string, g string, t string, pos string, n string, keep string, output string, form string, p string"
@@ -199,6 +199,19 @@ def test_lines_of_nothing(empty):
     assert line_dedup.without_lines(empty, line_dedup.keep_bitmaps(empty)).collect() == []
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """One id many times over, very long texts: rows that repeat count once, bytes are bounded, the same sample whatever the layout."""
+    rows = [(1, "the same text", "en")] * 500 + [(1, f"text {i}", "en") for i in range(40)] + [(None, f"no id {i}", "de") for i in range(5)] + [(i, "x " * 3000, "fr") for i in range(10, 40)] + [(7, None, "en"), (8, "x", None)]
+    monkeypatch.setattr(langid_kn, "SAMPLE_BYTES", 20_000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, other = (langid_kn.sample(docs.repartition(n), bound=20) for n in (1, 6))
+    assert one == other and one[0] == ["de", "en", "fr"]
+    de, en, fr = one[1]
+    assert len(en) == len(set(en)) == 20 and len(de) == 5 and 1 <= len(fr) <= 3
+    monkeypatch.setattr(langid_kn, "SAMPLE_BYTES", 10)
+    assert [len(t) for t in langid_kn.sample(docs, bound=20)[1]][2] == 1
+
+
 @pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_source_divergence", "op13_line_dedup"])
 def test_query_equals_sql(spark, name):
     ours, theirs = queries.QUERIES[name](spark, SF).toPandas(), compare.connect(SF).execute(queries.ORACLES[name]).df()
