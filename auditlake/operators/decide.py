@@ -56,14 +56,16 @@ def evidence_of_verdicts(v: DataFrame, passages: DataFrame, requirements: DataFr
     signs = R.sentence_signs(passages)
     asked = v.filter("cause = ''").select("doc_id", "nr")
     of = lambda df, name, *cols: df.join(asked, ["doc_id", "nr"], "left_semi").select("doc_id", "nr", F.struct(*cols).alias(name))
-    vendor = of(R.assigned(signs, "binding", R.bought_in_criteria(criteria), only=True), "vendor", "sentence", "page")
-    cost = of(R.assigned(signs, "cost", R.cost_criteria(requirements)), "cost", "sentence", "page")
+    preferred = R.bought_in_criteria(criteria).withColumn("kind", F.lit("binding")).union(R.cost_criteria(requirements).withColumn("kind", F.lit("cost")))
+    found = R.assigned_each(signs, preferred, only=("binding",)).join(asked, ["doc_id", "nr"], "left_semi")
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.struct("sentence", "page")))
+    sentences = found.groupBy("doc_id", "nr").agg(one("binding").alias("vendor"), one("cost").alias("cost"))
     values = R.value_signs(passages, requirements)
     value, material = (of(values.filter(F.col("sign") == k), k, "found", "known", "page") for k in ("value", "material"))
     hint = R.reason_hints(v, passages, criteria, v.limit(0)).select("doc_id", "nr", F.struct("page", "words").alias("hint"))
     affected = requirements.filter((F.col("field") == "required") & R.matches(F.col("text"), L.AFFECTED)).groupBy("nr").agg(F.min_by("text", "pos").alias("against"))
     out = v.join(F.broadcast(regulated_share(v)), "nr", "left").join(F.broadcast(affected), "nr", "left")
-    for t in (vendor, cost, value, material, hint):
+    for t in (sentences, value, material, hint):
         out = out.join(t, ["doc_id", "nr"], "left")
     return out.withColumn("opposite", F.when(F.coalesce("opposed", F.lit(False)), F.col("against")))
 
@@ -85,14 +87,19 @@ def with_signs(facts: DataFrame) -> DataFrame:
     return facts.withColumn("signs", _signs(F.lit(False), F.lit(True)))
 
 
+def _placed(signed: DataFrame, level: list[str]) -> DataFrame:
+    """Adds open, has_p, v, place: the order of a document's E and T that nothing else flags, by windows alone, so that the facts are made once."""
+    counts = F.array(*(F.lit(x) for x in [*level, "model"]))
+    open_ = F.coalesce(F.col("status").isin("E", "T") & ~F.arrays_overlap("signs", counts), F.lit(False))
+    has = F.coalesce(F.max(F.when(F.col("open"), F.col("p").isNotNull())).over(Window.partitionBy("doc_id")), F.lit(False))
+    value = F.when(F.col("open"), F.when(F.col("has_p"), F.col("p")).otherwise(F.col("ranked")))
+    w = Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("v") > 0, F.lit(False)).desc(), F.desc("v"), "nr")
+    return signed.withColumn("open", open_).withColumn("has_p", has).withColumn("v", value).withColumn("place", F.when(F.col("v") > 0, F.row_number().over(w)))
+
+
 def likeliest(signed: DataFrame, level: list[str], n: int = K.TOP_FLAGS) -> DataFrame:
     """(doc_id, nr, place, p, has_p): of every document the E and T nearest to A that nothing else flags; by probabilities where the document has any, else by the ranker's value."""
-    counts = F.array(*(F.lit(x) for x in [*level, "model"]))
-    open_ = signed.filter(F.col("status").isin("E", "T") & ~F.arrays_overlap("signs", counts))
-    has = F.max(F.col("p").isNotNull()).over(Window.partitionBy("doc_id"))
-    value = F.when(F.col("has_p"), F.col("p")).otherwise(F.col("ranked"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("v"), "nr")
-    return open_.withColumn("has_p", has).withColumn("v", value).filter("v > 0").withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("doc_id", "nr", "place", F.col("v").alias("p"), "has_p")
+    return _placed(signed, level).filter(F.col("place") <= n).select("doc_id", "nr", "place", F.col("v").alias("p"), "has_p")
 
 
 def flagged(facts: DataFrame, level: str = "thorough", levels: dict[str, list[str]] = LEVELS) -> DataFrame:
@@ -105,8 +112,7 @@ def flagged(facts: DataFrame, level: str = "thorough", levels: dict[str, list[st
     counts = levels[level]
     signed = with_signs(facts)
     if "probability" in counts or "statistics" in counts:
-        top = likeliest(signed, counts).select("doc_id", "nr", "has_p", F.lit(True).alias("top"))
-        signed = signed.join(top, ["doc_id", "nr"], "left").withColumn("signs", _signs(F.coalesce("top", F.lit(False)), F.coalesce("has_p", F.lit(True))))
+        signed = _placed(signed, counts).withColumn("signs", _signs(F.coalesce(F.col("place") <= K.TOP_FLAGS, F.lit(False)), F.col("has_p"))).drop("open", "has_p", "v", "place")
     enough = F.array(*(F.lit(x) for x in counts)).cast("array<string>")
     s = signed.withColumn("hit", F.size(F.array_intersect("signs", enough)) > 0).withColumn("origin", F.filter("signs", lambda x: (x == "model") | x.isin(counts or [""])))
     raised = F.col("hit") & F.coalesce(F.col("status") != "A", F.lit(True))

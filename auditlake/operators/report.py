@@ -77,8 +77,10 @@ def reference_examples(v: DataFrame, passages: DataFrame, n: int = 3) -> DataFra
     shared = r.join(p, ["doc_id", "page"]).withColumn("k", F.size(F.array_intersect("w", "t"))).filter("k > 0")
     best = shared.groupBy("doc_id", "nr", "status").agg(F.min_by("page", F.struct((-F.col("k")).alias("k"), "page", "of", "rank")).alias("page"))
     kind = Window.partitionBy("nr", "status").orderBy("doc_id")
-    place = F.when(F.row_number().over(kind) == 1, F.when(F.col("status") == "E", 0).when(F.col("status") == "T", 1).otherwise(2)).otherwise(3)
-    ordered = best.withColumn("g", place).withColumn("place", F.row_number().over(Window.partitionBy("nr").orderBy("g", "doc_id")))
+    # Whoever has n of its own kind before it can't be among the first n: tasks cut to n a kind before anything is exchanged.
+    first = best.withColumn("k", F.row_number().over(kind)).filter(F.col("k") <= n)
+    place = F.when(F.col("k") == 1, F.when(F.col("status") == "E", 0).when(F.col("status") == "T", 1).otherwise(2)).otherwise(3)
+    ordered = first.withColumn("g", place).withColumn("place", F.row_number().over(Window.partitionBy("nr").orderBy("g", "doc_id")))
     return ordered.filter(F.col("place") <= n).select("nr", "place", "doc_id", "status", "page")
 
 

@@ -70,21 +70,27 @@ def sentence_signs(passages: DataFrame) -> DataFrame:
     return s.withColumns({"binding": is_binding(F.col("sentence")), "cost": is_cost(F.col("sentence"))}).filter("binding or cost")
 
 
-def assigned(signs: DataFrame, kind: str, preferred: DataFrame, only: bool = False) -> DataFrame:
-    """(doc_id, nr, sentence, page): each sentence of a document goes to one criterion, each criterion keeps the sentence found first.
+def assigned_each(signs: DataFrame, preferred: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, kind, nr, sentence, page): each sentence of a document and kind goes to one criterion, each criterion keeps the sentence found first.
 
-    The best criterion is a preferred one (nr), then one of the highest score, then the first. With ``only``, sentences go to
-    preferred criteria alone, if there are any (bought-in parts).
+    The best criterion is a preferred one (preferred: nr, kind), then one of the highest score, then the first. Sentences of the
+    kinds of ``only`` go to preferred criteria alone, if there are any. Signs of all kinds are made and dealt in one pass.
     """
-    s = signs.filter(kind).join(F.broadcast(preferred.select("nr", F.lit(True).alias("preferred"))), "nr", "left").withColumn("preferred", F.coalesce("preferred", F.lit(False)))
-    if only:
-        some = preferred.agg((F.count("*") > 0).alias("some"))  # one row
-        s = s.crossJoin(F.broadcast(some)).filter("preferred or not some").drop("some")
+    kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in ("binding", "cost"))), lambda x: x.isNotNull())
+    s = signs.select("doc_id", "nr", "rank", "pos", "page", "score", "sentence", F.explode(kinds).alias("kind"))
+    some = preferred.select("kind").distinct().withColumn("some", F.lit(True))  # a row a kind
+    s = s.join(F.broadcast(preferred.withColumn("preferred", F.lit(True))), ["nr", "kind"], "left").join(F.broadcast(some), "kind", "left")
+    s = s.withColumn("preferred", F.coalesce("preferred", F.lit(False))).filter(F.col("preferred") | F.col("some").isNull() | ~F.col("kind").isin(*only, ""))
     place = F.struct("nr", "rank", "pos")
     order = F.struct((~F.col("preferred")).alias("p"), (-F.col("score")).alias("s"), place.alias("at"))
-    best = s.groupBy("doc_id", "sentence").agg(F.min_by(F.struct("nr", "page", "score"), order).alias("b"), F.min(place).alias("first"))
-    kept = best.groupBy("doc_id", "b.nr").agg(F.min_by(F.struct("sentence", "b.page"), F.struct("first", "sentence")).alias("k"))
-    return kept.select("doc_id", "nr", F.substring("k.sentence", 1, 300).alias("sentence"), "k.page")
+    best = s.groupBy("doc_id", "kind", "sentence").agg(F.min_by(F.struct("nr", "page", "score"), order).alias("b"), F.min(place).alias("first"))
+    kept = best.groupBy("doc_id", "b.nr", "kind").agg(F.min_by(F.struct("sentence", "b.page"), F.struct("first", "sentence")).alias("k"))
+    return kept.select("doc_id", "kind", "nr", F.substring("k.sentence", 1, 300).alias("sentence"), "k.page")
+
+
+def assigned(signs: DataFrame, kind: str, preferred: DataFrame, only: bool = False) -> DataFrame:
+    """(doc_id, nr, sentence, page): assigned_each() for one kind, binding or cost."""
+    return assigned_each(signs.filter(kind).withColumns({k: F.lit(k == kind) for k in ("binding", "cost")}), preferred.select("nr", F.lit(kind).alias("kind")), (kind,) if only else ()).drop("kind")
 
 
 def cost_criteria(requirements: DataFrame) -> DataFrame:
@@ -281,10 +287,14 @@ def facts_of(text: Column) -> Column:
 def echoes(reasons: DataFrame, passages: DataFrame, requirements: DataFrame) -> DataFrame:
     """(doc_id, nr, echo): facts of a reason that the document's passages don't have and the standard has; rows with such facts."""
     f = reasons.select("doc_id", "nr", F.explode(facts_of(F.col("reason"))).alias("fact"))
-    texts = lambda df, *keys: df.groupBy(*keys).agg(F.lower(F.array_join(F.array_sort(F.collect_list("text")), " ")).alias("t"))  # noqa: E731  of one verdict's candidates or one criterion
-    j = f.join(texts(passages, "doc_id", "nr").withColumnRenamed("t", "d"), ["doc_id", "nr"], "left").join(F.broadcast(texts(requirements, "nr")).withColumnRenamed("t", "s"), "nr", "left")
-    hit = j.filter(~F.contains(F.coalesce("d", F.lit("")), F.lower("fact")) & F.contains(F.coalesce("s", F.lit("")), F.lower("fact")))
-    return hit.groupBy("doc_id", "nr").agg(F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("echo"))
+    d = passages.groupBy("doc_id", "nr").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("d"))  # one verdict's candidates
+    own = f.join(d, ["doc_id", "nr"], "left").filter(~F.contains(F.coalesce("d", F.lit("")), F.lower("fact"))).select("doc_id", "nr", "fact")
+    # A fact in a statement has its first three characters there: different facts and statements meet by criterion and trigram.
+    said = own.select("nr", "fact").distinct().withColumn("gram", F.substring(F.lower("fact"), 1, 3))
+    low = requirements.select("nr", F.lower("text").alias("t")).filter("length(t) >= 3").distinct()
+    grams = low.select("nr", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.substring(F.col("t"), i, F.lit(3))))).alias("gram"))
+    known = said.join(grams, ["nr", "gram"]).filter(F.contains("t", F.lower("fact"))).select("nr", "fact").distinct()
+    return own.join(known, ["nr", "fact"]).groupBy("doc_id", "nr").agg(F.array_join(F.array_sort(F.collect_list("fact")), ",").alias("echo"))
 
 
 def procurement_words(text: Column) -> Column:
