@@ -49,25 +49,35 @@ def is_binding(sentence: Column) -> Column:
 def is_cost(sentence: Column, before: int = 3, inner: int = 3, after: int = 4) -> Column:
     """Whether a sentence puts costs on the supplier: a party, no mere offer, and a formula of cost without a negation near it and without the customer after it."""
     s = low(sentence)
-    pieces, hits = F.split(s, L.COSTS), F.regexp_extract_all(s, F.lit(L.COSTS), 0)
+    # As the one element of an array, pieces and hits are made once and not once for each use.
+    cut = F.array(F.struct(F.split(s, L.COSTS).alias("pieces"), F.regexp_extract_all(s, F.lit(L.COSTS), 0).alias("hits")))
     words = lambda t: F.regexp_extract_all(t, F.lit(L.W + "+"), 0)
     last = lambda a, n: F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n)
 
-    def bears(hit: Column, i: Column) -> Column:
-        at = lambda a, lo, n: F.array_join(F.slice(a, lo, n), " ")
-        left = F.concat_ws(" ", F.array_join(F.slice(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.concat(p, h)), 1, i), ""), F.element_at(pieces, i + 1))
-        right = F.concat(F.element_at(pieces, i + 2), at(F.zip_with(F.slice(hits, i + 2, F.size(hits)), F.slice(pieces, i + 3, F.size(pieces)), lambda h, p: F.concat(h, p)), F.lit(1), F.size(hits)))
-        near = F.slice(words(right), 1, after)
-        all_ = F.concat(last(words(left), before), last(words(hit), inner), near)
-        return ~F.exists(all_, lambda w: w.rlike(L.NEGATION)) & ~F.exists(near, lambda w: w.rlike(L.CUSTOMER))
+    def bears(z: Column) -> Column:
+        pieces, hits = z["pieces"], z["hits"]
 
-    return s.rlike(L.PARTY) & ~s.rlike(L.OFFER) & F.exists(F.transform(hits, bears), lambda x: x)
+        def one(hit: Column, i: Column) -> Column:
+            at = lambda a, lo, n: F.array_join(F.slice(a, lo, n), " ")
+            left = F.concat_ws(" ", F.array_join(F.slice(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.concat(p, h)), 1, i), ""), F.element_at(pieces, i + 1))
+            right = F.concat(F.element_at(pieces, i + 2), at(F.zip_with(F.slice(hits, i + 2, F.size(hits)), F.slice(pieces, i + 3, F.size(pieces)), lambda h, p: F.concat(h, p)), F.lit(1), F.size(hits)))
+            near = F.slice(words(right), 1, after)
+            all_ = F.concat(last(words(left), before), last(words(hit), inner), near)
+            return ~F.exists(all_, lambda w: w.rlike(L.NEGATION)) & ~F.exists(near, lambda w: w.rlike(L.CUSTOMER))
+
+        return F.exists(F.transform(hits, one), lambda x: x)
+
+    return s.rlike(L.PARTY) & ~s.rlike(L.OFFER) & s.rlike(L.COSTS) & F.exists(F.transform(cut, bears), lambda x: x)
 
 
 def sentence_signs(passages: DataFrame) -> DataFrame:
     """(doc_id, nr, rank, pos, page, score, sentence, binding, cost): sentences of passages that bind to a vendor or put costs on the supplier."""
     s = passages.select("doc_id", "nr", "rank", "page", "score", F.posexplode(split_sentences(F.col("text"))).alias("pos", "sentence"))
-    return s.withColumns({"binding": is_binding(F.col("sentence")), "cost": is_cost(F.col("sentence"))}).filter("binding or cost")
+    x = F.col("sentence")
+    some = s.filter(matches(x, L.VENDORS) | (matches(x, L.PARTY) & matches(x, L.COSTS)))
+    # From a generator, so that the filter does not ask for either sign once more.
+    signs = F.explode(F.array(F.struct(is_binding(x).alias("binding"), is_cost(x).alias("cost"))))
+    return some.select("*", signs.alias("is")).select(*s.columns, "is.*").filter("binding or cost")
 
 
 def assigned_each(signs: DataFrame, preferred: DataFrame, only: tuple[str, ...] = ()) -> DataFrame:
