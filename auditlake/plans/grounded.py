@@ -11,7 +11,8 @@ from ..operators import grounding as G
 from ..operators import rules as R
 from ..sources import package
 from ..sources import standins as I
-from .rules_sql import _E, is_contents, q, sentences
+from .rules_sql import _E, _reasoned, is_contents, q, sentences
+from .rules_sql import words as all_words
 
 
 def quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,3 +65,15 @@ j AS (SELECT s.*, lower(p.text) AS source, list_filter({nums('t')}, lambda x: le
 SELECT nr AS row, pos, t || ' (' || doc_id || ').' AS text, doc_id::VARCHAR AS doc_id FROM j
 WHERE CASE WHEN len(n) > 0 THEN list_has_all({nums('source')}, n) ELSE len(w) > 0 AND 2 * len(list_filter(w, lambda x: contains(source, x))) >= len(w) END"""
     return {"f19_quotations": quotes, "f19_rechecked": second, "f22_grounded_variants": stands}
+
+
+def readers(v: str, known: dict[str, str]) -> dict[str, str]:
+    """SQL of what a reader is told of a verdict and of the hints of two routes, from the SQL of flags, echoes and hints."""
+    rs, failed = _reasoned(v), "trim(coalesce(cause, ''), ' ') <> ''"
+    cases = f"""{rs}, fl AS ({known["k11_flagged"]}), ec AS ({known["f20_echoes"]}), pn AS (SELECT doc_id, nr, count(*) AS n FROM passages GROUP BY ALL)
+SELECT fl.doc_id, fl.nr, CASE WHEN {failed} AND n IS NULL THEN 'nothing found' WHEN {failed} THEN 'call failed' WHEN fl.status_model IS NOT NULL THEN 'flagged afterwards' WHEN coalesce(lifted, false) THEN 'lifted by statistics'
+  WHEN rs.ref IS NULL AND coalesce(fl.status, 'N') <> 'E' THEN 'changed by the evidence rule' WHEN echo IS NOT NULL THEN 'reason partly from the prompt' WHEN coalesce(fl.status, 'N') = 'N' AND n > 0 THEN 'passages found, not counted' ELSE 'regular' END AS label
+FROM fl LEFT JOIN rs USING (doc_id, nr) LEFT JOIN pn USING (doc_id, nr) LEFT JOIN ec USING (doc_id, nr)"""
+    hints = f"""{rs}, h AS (SELECT k.doc_id, k.nr, k.page, k.nr || ' ' || k.words AS text, CASE WHEN rs.p < 0.5 THEN 'read' ELSE 'noted' END AS origin FROM ({known["k13_reason_hints"]}) k JOIN rs USING (doc_id, nr))
+SELECT doc_id, nr, page, text, origin FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, array_to_string({all_words('text')}, ' ') ORDER BY nr, page, text) = 1"""
+    return {"k14_cases": cases, "u6_hints_of_both": hints}

@@ -263,3 +263,4 @@ ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
 ORACLES |= grounded.oracles()
 ORACLES["p3_chapter_chunks"] = ORACLES["p3_chapter_sections"]
+ORACLES |= grounded.readers(f"WITH {sql._V}", ORACLES)
