@@ -62,10 +62,10 @@ def test_content_of_a_row(spark):
     shown = spark.createDataFrame([("T1", "A", "Die Standzeit beträgt 150.000 Schuss nach DIN"), ("T1", "B", "Härte 45 HRC der Einsätze")], "row string, doc_id string, text string")
     kind = "row string, title string, requirements array<string>, variants array<string>, placeholders array<string>, terms array<string>"
     a = [
-        ("T1", "Standzeit der Form", ["Die Standzeit ist  einzuhalten.", "kurz", "Laut lastenheft-a ist es so geregelt", None], ["150,000 Schuss (A).", "150.000 Schuss (B)", "45 HRC (B);", "ohne Kennung", "46 HRC (B)", "45 HRC (C)"], ["[Wert]", "eins zwei drei vier fünf sechs sieben", " "], ["Schuss", "schuss", "fremd", "form"]),
+        ("T1", "Standzeit der Form", ["Die Standzeit ist  einzuhalten.", "kurz", "Laut dokument-a ist es so geregelt", None], ["150,000 Schuss (A).", "150.000 Schuss (B)", "45 HRC (B);", "ohne Kennung", "46 HRC (B)", "45 HRC (C)"], ["[Wert]", "eins zwei drei vier fünf sechs sieben", " "], ["Schuss", "schuss", "fremd", "form"]),
         ("T2", "Kosten", None, None, None, None),
     ]
-    got = {r.row: r for r in G.checked_content(spark.createDataFrame(a, kind), shown, ["Lastenheft-A"]).collect()}
+    got = {r.row: r for r in G.checked_content(spark.createDataFrame(a, kind), shown, ["Dokument-A"]).collect()}
     assert got["T1"].requirements == ["Die Standzeit ist einzuhalten."] and got["T1"].variants == ["150,000 Schuss (A).", "45 HRC (B);"]
     assert got["T1"].placeholders == ["Wert"] and got["T1"].terms == ["Schuss", "form", "Standzeit"]
     assert (got["T2"].requirements, got["T2"].variants, got["T2"].placeholders, got["T2"].terms) == ([], [], [], ["Kosten"])
