@@ -231,16 +231,33 @@ def lifted(v: DataFrame, p: DataFrame, passages: DataFrame) -> DataFrame:
     return j.select("doc_id", "nr", F.col("most").alias("status"), F.concat(F.lit("S"), F.col("page").cast("string")).alias("evidence"), F.when(F.col("most") == "E", F.col("p_e")).otherwise(F.col("p_t")).alias("p"))
 
 
+def _standard_flags(requirements: DataFrame, criteria: DataFrame) -> DataFrame:
+    """(nr, open_product, open_wording): whether the standard leaves the product or the wording open; a row a criterion."""
+    product, wording = R.placeholders(criteria, wide=False).select("nr", F.lit(1.0).alias("open_product")), R.open_criteria(requirements).select("nr", F.lit(1.0).alias("open_wording"))
+    return criteria.select("nr").distinct().join(product, "nr", "left").join(wording, "nr", "left").na.fill(0.0, ["open_product", "open_wording"])
+
+
 def ranker_rows(features: DataFrame, v: DataFrame, requirements: DataFrame, criteria: DataFrame) -> DataFrame:
     """Features of the ranker for verdicts with a regulated reference: two flags of the standard, the share of A in the other documents, and the features of the search."""
     from . import evaluate as E
 
-    share = E.deviation_share(v)
-    flags = criteria.select("nr").join(R.placeholders(criteria, wide=False).select("nr", F.lit(1.0).alias("open_product")), "nr", "left").join(R.open_criteria(requirements).select("nr", F.lit(1.0).alias("open_wording")), "nr", "left").na.fill(0.0)
-    j = v.filter("ref in ('E', 'T', 'A')").select("doc_id", "nr", "ref").join(share, ["doc_id", "nr"]).join(F.broadcast(flags), "nr", "left").join(features, ["doc_id", "nr"])
+    j = v.filter("ref in ('E', 'T', 'A')").select("doc_id", "nr", "ref").join(E.deviation_share(v), ["doc_id", "nr"]).join(F.broadcast(_standard_flags(requirements, criteria)), "nr", "left").join(features, ["doc_id", "nr"])
     return j.withColumn("ref", F.when(F.col("ref") == "A", "A").otherwise("-"))
 
 
+def ranking_rows(features: DataFrame, v: DataFrame, known: DataFrame, requirements: DataFrame, criteria: DataFrame) -> DataFrame:
+    """Features of the ranker for the verdicts that it scores: E and T with candidates, in documents of which no verdict has a probability.
+
+    v(doc_id, nr, status, p); known(nr, ref): references of all documents, of which the share of A (4 digits, 0 for a
+    criterion without any) is taken. A document with one probability is ordered by probabilities and has no row here.
+    """
+    share = known.filter("ref is not null").groupBy("nr").agg(F.round(F.count_if(F.col("ref") == "A") / F.count("*"), 4).alias("share_a"))
+    has = F.max(F.col("p").isNotNull()).over(Window.partitionBy("doc_id"))
+    asked = v.select("doc_id", "nr", "status", has.alias("has_p")).filter("not has_p and status in ('E', 'T')").select("doc_id", "nr")
+    of_nr = F.broadcast(_standard_flags(requirements, criteria).join(share, "nr", "full"))
+    return features.join(asked, ["doc_id", "nr"], "left_semi").join(of_nr, "nr", "left").na.fill(0.0, ["share_a", "open_product", "open_wording"])
+
+
 def ranked(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, nr, rank_value): probability of A by the ranker, its logit held within 50, 4 digits."""
     a, other = model.classes.index("A"), model.classes.index("-")

@@ -65,6 +65,35 @@ def regulated_scores(v: DataFrame) -> DataFrame:
     return out.withColumns({"f1": F.round(f1, 6), "precision": F.round("precision", 6), "recall": F.round("recall", 6), "match": share(F.col("hits"), F.col("n"))}).drop("level")
 
 
+def kpi_deltas(v: DataFrame, criteria: int = K.CRITERIA) -> DataFrame:
+    """(doc_id, hits, total, match, d_deviation, d_coverage, d_conformity): a document's exact hits over all criteria, and its key figures less those of its reference.
+
+    A criterion that has neither a status nor a reference is a hit. Differences have 4 digits, half away from zero, and are null where one
+    side has no regulated criterion; they are taken between figures of 6 digits, in whole millionths.
+    """
+    m = model_status(v)
+    n = lambda c, s: F.count_if(F.col(c) == s)
+    sides = {"found": "model_status", "want": "ref"}
+    g = m.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if(F.col("ref").eqNullSafe(F.col("model_status"))).alias("same"), *(n(c, s).alias(f"{side}_{s.lower()}") for side, c in sides.items() for s in "ETA"))
+    micro = lambda a, b: F.round(share(a, b) * 1_000_000).cast("long")
+    for side in sides:
+        e, t, a = (F.col(f"{side}_{s}") for s in "eta")
+        regulated = e + t + a
+        g = g.withColumns({f"{side}_deviation": micro(a + 0.5 * t, regulated), f"{side}_coverage": micro(regulated, F.lit(criteria)), f"{side}_conformity": micro(e, regulated)})
+    hits = F.col("same") + criteria - F.col("rows")
+    delta = lambda name: F.col(f"found_{name}") - F.col(f"want_{name}")
+    four = lambda d: F.signum(d) * F.floor((F.abs(d) + 50) / 100) / 10_000
+    return g.select("doc_id", hits.alias("hits"), F.lit(criteria).alias("total"), share(hits, F.lit(criteria)).alias("match"), *(four(delta(x)).alias(f"d_{x}") for x in ("deviation", "coverage", "conformity")))
+
+
+def flagging(v: DataFrame) -> DataFrame:
+    """(ref_a, found_a, marked, marked_a, per_document), one row: references A, those that stand as A in the result, flags, flags on a reference A, flags a document (0 without documents)."""
+    m = model_status(v)
+    a = F.coalesce(F.col("ref") == "A", F.lit(False))
+    g = m.agg(F.count_if(a).alias("ref_a"), F.count_if(a & (F.col("status") == "A")).alias("found_a"), F.count_if("flagged").alias("marked"), F.count_if(a & F.col("flagged")).alias("marked_a"), F.count_distinct("doc_id").alias("documents"))
+    return g.select("ref_a", "found_a", "marked", "marked_a", F.coalesce(share(F.col("marked"), F.col("documents")), F.lit(0.0)).alias("per_document"))
+
+
 def baselines(v: DataFrame) -> DataFrame:
     """Exact match of always E and always N."""
     return v.filter("ref is not null").agg(share(F.count_if(F.col("ref") == "E"), F.count("*")).alias("always_e"), share(F.count_if(F.col("ref") == "N"), F.count("*")).alias("always_n"))
@@ -168,6 +197,28 @@ def class_from_frequency(v: DataFrame) -> DataFrame:
     return n.crossJoin(F.broadcast(m)).select("nr", "n", "m", k.alias("klass"))
 
 
+def class_thresholds(v: DataFrame) -> DataFrame:
+    """(m, mandatory_from, regular_from), one row: documents with a reference, and the fewest regulating ones that make a criterion mandatory or at least regular; null without documents."""
+    m = v.filter("ref is not null").agg(F.count_distinct("doc_id").alias("m"))
+    least = lambda k: F.when(F.col("m") > 0, F.floor((k * F.col("m") + 17) / 18))
+    return m.select("m", least(14).alias("mandatory_from"), least(8).alias("regular_from"))
+
+
+def set_gap(criteria: DataFrame, reference: DataFrame) -> DataFrame:
+    """(n_criteria, n_reference, differing), one row: numbers of both sets, and those that only one of them has; null numbers count as none."""
+    both = criteria.select("nr").distinct().filter("nr is not null").withColumn("c", F.lit(1)).join(reference.select("nr").distinct().filter("nr is not null").withColumn("r", F.lit(1)), "nr", "full")
+    return both.agg(F.count("c").alias("n_criteria"), F.count("r").alias("n_reference"), F.count_if(F.col("c").isNull() | F.col("r").isNull()).alias("differing"))
+
+
+def check_reference(criteria: DataFrame, reference: DataFrame, part: str = "all") -> None:
+    """Guards the evaluation against a reference of one's own: parts of the built-in corpus don't apply, and both must have the same criteria. Runs one small job."""
+    if part != "all":
+        raise ValueError(f"part {part} is one of the built-in reference; another one is measured over all its documents")
+    gap = set_gap(criteria, reference).first()
+    if gap["differing"]:
+        raise ValueError(f"the reference doesn't fit the template: {gap['n_reference']} against {gap['n_criteria']} criteria, {gap['differing']} numbers differ")
+
+
 def fingerprint(v: DataFrame) -> DataFrame:
     """(doc_id, print): the first 16 hex digits of a digest of all verdicts in order."""
     cell = F.concat_ws("=", F.lpad(F.col("nr").cast("string"), 3, "0"), F.coalesce("status", F.lit("-")))

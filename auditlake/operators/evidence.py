@@ -88,10 +88,15 @@ def regulated_by(v: DataFrame) -> DataFrame:
     return r.join(F.broadcast(r.groupBy("nr").agg(F.count("*").alias("n"))), "nr").select("nr", "doc_id", "n")
 
 
-def examples(v: DataFrame, n: int = 3) -> DataFrame:
-    """(nr, doc_id): deviations for a prompt: one a criterion at most, the first of them."""
-    one = v.filter("ref = 'A' and p > 0.4").groupBy("nr").agg(F.min("doc_id").alias("doc_id"))
-    return one.orderBy("nr").limit(n)
+def examples(v: DataFrame, measured: DataFrame, n: int = 3, least: int = 40) -> DataFrame:
+    """(doc_id, nr, reason): deviations for a prompt, the first in order of documents, one a criterion at most.
+
+    The reference says A, the reason is longer than ``least`` characters, and the document isn't one of measured(doc_id):
+    a prompt must not show the solution of what is measured. Null and empty reasons never count; of repeated rows the least reason does.
+    """
+    known = v.filter("ref = 'A'").select("doc_id", "nr", F.trim("reason").alias("reason")).filter(F.length("reason") > least)
+    one = known.join(measured.select("doc_id").distinct(), "doc_id", "left_anti").groupBy("nr").agg(F.min(F.struct("doc_id", "reason")).alias("x"))
+    return one.select("x.doc_id", "nr", "x.reason").orderBy("doc_id", "nr").limit(n)
 
 
 def renumbered(v: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as K
-from ..functions.columns import l2_normal, literal_score, padded_words
+from ..functions.columns import l2_normal, lexical_score, literal_score, padded_words
 from . import rules as R
 from . import text as T
 
@@ -94,16 +94,37 @@ def features(found: DataFrame, docs: DataFrame) -> DataFrame:
     lexical score, shares with terms and with a strong score, the logarithm of the number of all sections.
     Sums are of millionths, so that their order doesn't matter.
     """
+    size = T.sectioned(docs).groupBy("doc_id").agg(F.max("n_sections").alias("sections"))
+    klass = lambda k: F.when(F.col("nr") % 3 == k, 1.0).otherwise(0.0)
+    every = size.withColumn("nr", F.explode(F.array(*(F.lit(nr) for nr, *_ in K.CATALOGUE)))).withColumns({"mandatory": klass(0), "regular": klass(1), "optional": klass(2)})
+    return _features(every, found)
+
+
+def passage_features(passages: DataFrame, criteria: DataFrame) -> DataFrame:
+    """The twelve features of each (doc_id, nr) with passages, from what a search has found: passages(doc_id, nr, rank, text, score), criteria(nr, klass, terms).
+
+    ``score`` is the cosine; terms score as in the hybrid search. A criterion without terms or class has zeros there, a null text has no
+    term. The number of sections is that of the document's passages. The catalogue is broadcast: a row a criterion.
+    """
+    text = F.coalesce("text", F.lit(""))
+    j = passages.join(F.broadcast(criteria.select("nr", "klass", "terms")), "nr", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    lex = lexical_score(F.lower(text), padded_words(text), F.col("terms"))
+    scored = j.select("doc_id", "nr", "klass", "rank", F.col("score").alias("cos"), lex.alias("lex"))
+    found = scored.withColumn("score", F.round((1 - K.LEXICAL_WEIGHT) * F.col("cos") + K.LEXICAL_WEIGHT * F.col("lex"), 6))
+    size = passages.groupBy("doc_id").agg(F.count("*").alias("sections"))
+    klass = lambda k: F.when(F.col("klass") == k, 1.0).otherwise(0.0)
+    every = found.groupBy("doc_id", "nr").agg(F.max("klass").alias("klass")).join(size, "doc_id").select("doc_id", "nr", "sections", *(klass(k).alias(k) for k in ("mandatory", "regular", "optional")))
+    return _features(every, found)
+
+
+def _features(every: DataFrame, found: DataFrame) -> DataFrame:
+    """The twelve features of every(doc_id, nr, sections, mandatory, regular, optional) from found(doc_id, nr, rank, score, cos, lex)."""
     millionths = F.round(F.col("score") * 1_000_000).cast("long")
     top = lambda k, name: F.coalesce(F.sum(F.when(F.col("rank") <= k, millionths)), F.lit(0)).alias(name)
     agg = found.groupBy("doc_id", "nr").agg(F.count("*").alias("n"), top(1, "s1"), top(3, "s3"), top(10, "s10"), F.max("cos").alias("c"), F.max("lex").alias("l"), F.count_if(F.col("lex") > 0).alias("t"), F.count_if(F.col("score") >= K.STRONG).alias("g"))
-    size = T.sectioned(docs).groupBy("doc_id").agg(F.max("n_sections").alias("sections"))
-    every = size.withColumn("nr", F.explode(F.array(*(F.lit(nr) for nr, *_ in K.CATALOGUE))))
-    j = every.join(agg, ["doc_id", "nr"], "left").na.fill(0)
-    klass = lambda k: F.when(F.col("nr") % 3 == k, 1.0).otherwise(0.0)
-    return j.select(
-        "doc_id", "nr", klass(0).alias("mandatory"), klass(1).alias("regular"), klass(2).alias("optional"), F.round(F.col("n") / 30.0, 6).alias("filled"), (F.col("s1") / 1e6).alias("first"),
-        (F.floor((2 * F.col("s3") + 3) / 6) / 1e6).alias("three"), (F.floor((F.col("s10") + 5) / 10) / 1e6).alias("ten"), F.col("c").alias("max_cos"), F.col("l").alias("max_lex"),
+    return every.join(agg, ["doc_id", "nr"], "left").na.fill(0, ["n", "s1", "s3", "s10", "c", "l", "t", "g"]).select(
+        "doc_id", "nr", "mandatory", "regular", "optional", F.round(F.col("n") / 30.0, 6).alias("filled"), (F.col("s1") / 1e6).alias("first"),
+        (F.floor((2 * F.col("s3") + 3) / 6) / 1e6).alias("three"), (F.floor((F.col("s10") + 5) / 10) / 1e6).alias("ten"), F.col("c").alias("max_cos"), F.round("l", 6).alias("max_lex"),
         F.round(F.col("t") / 30.0, 6).alias("with_terms"), F.round(F.col("g") / 30.0, 6).alias("strong"), F.round(F.log1p(F.col("sections").cast("double")), 6).alias("log_sections"),
     )
 

@@ -23,10 +23,7 @@ from ..operators import text as T
 from ..sources import package
 from ..sources import standins as I
 from ..sources.standins import table, verdicts
-from . import building, grounded, rules_sql, running, sql
-
-#: Frequent function words in four languages.
-FREQUENT = ["the", "and", "of", "to", "in", "is", "that", "for", "with", "was", "der", "die", "und", "das", "ist", "mit", "auf", "für", "den", "von", "les", "des", "est", "pour", "dans", "que", "los", "del", "una", "para", "con", "por"]
+from . import building, grounded, measured, rules_sql, running, sql
 
 #: The vectors of the tables are spread more widely than those of a text model: their least likeness.
 LEAST = 0.25
@@ -71,17 +68,6 @@ def _cases(v: DataFrame, p: DataFrame, r: DataFrame, c: DataFrame) -> DataFrame:
     return D.case_of(_flags(v, p, r, c).select("doc_id", "nr", "status", "status_model"), asked)
 
 
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ranker on verdicts, with the features of their candidates."""
-    v, p, r, c = (f(spark, sf_dir) for f in (I.reasoned, I.passages, I.requirements, I.criteria))
-    top = lambda k, d: F.coalesce(F.sum(F.when(F.col("rank") <= k, F.col("score"))) / d, F.lit(0.0))
-    f = p.groupBy("doc_id", "nr").agg((F.count("*") / 30).alias("filled"), top(1, 1).alias("first"), top(3, 3).alias("three"), top(10, 10).alias("ten"), F.max("score").alias("max_cos"), F.lit(0.0).alias("max_lex"), F.lit(0.0).alias("with_terms"), (F.count_if(F.col("score") >= K.STRONG) / 30).alias("strong"))
-    size = p.groupBy("doc_id").agg(F.log1p(F.count("*").cast("double")).alias("log_sections"))
-    klass = lambda k: (F.col("nr") % 3 == k).cast("double")
-    rows = D.ranker_rows(f.join(size, "doc_id").withColumns({"mandatory": klass(0), "regular": klass(1), "optional": klass(2)}), v, r, c)
-    return D.ranked(rows, D.train(rows, D.RANK_FEATURES, ["-", "A"]))
-
-
 def _changes(c: DataFrame, r: DataFrame) -> DataFrame:
     """The template against an older one, which lacks some criteria and has other titles and classes."""
     full = c.select("nr", "title", "klass").join(M.with_standard(c, r).select("nr", "required"), "nr")
@@ -128,7 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_numbers": _on("documents", T.unit_values),
     "f2_contents_pages": _on("documents", T.leader_lines),
     "f3_junk": _on("documents", lambda d: T.junk_signs(d).select("doc_id", "tokens", "short_share", "digit_share", "is_junk")),
-    "f4_readability": _on("documents", lambda d: T.readability(d, FREQUENT)),
+    "f4_readability": _on("documents", lambda d: T.readability(d, L.FUNCTION_WORDS)),
     "x4_hybrid_search": _on("documents", S.candidates),
     "k1_features": _on("documents", lambda d: S.features(S.candidates(d), d)),
     "j8_residual_sections": _on("documents", _found(S.residual_sections)),
@@ -197,7 +183,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "l1_verdicts": _on_audit(lambda v, p, r, c: A.verdicts(A.verdict_prompts(c, v, p, 3), p, A.ByLength())),
     "l9_judged_pairs": _on_passages(lambda p: A.judged_pairs(p.select("doc_id", "nr", "rank", F.col("text").alias("prompt")), A.ByLength(7, "too long")).select("doc_id", "nr", "rank", F.col("value").cast("double").alias("value"), "error")),
     "k14_cases": _on_audit(_cases),
-    "k3_train_ranker": lambda spark, sf_dir: _ranked(spark, sf_dir),
     "s18_sections_seen": _on_passages(lambda p: p.groupBy("doc_id").agg(F.count_distinct("page", F.substring("text", 1, 40)).alias("sections"), F.count("*").alias("passages"))),
     "p6_bullets": _on_passages(lambda p: p.select("doc_id", "nr", "rank", F.posexplode(R.split_sentences(F.col("text"))).alias("pos", "sentence"))),
     "f1_contents": _on_passages(lambda p: p.select("doc_id", "nr", "rank", R.is_contents(F.col("text")).alias("is_contents"))),
@@ -249,18 +234,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "s11_archive": _on("documents", V.archive),
     "x5_slots": _on("documents", V.slots),
     "a19_regulated_by": _on_verdicts(V.regulated_by),
-    "x14_examples": _on_verdicts(V.examples),
     "p19_renumbered": _on_verdicts(V.renumbered),
     "liveness": _on("events", V.liveness),
     "sessions": _on("events", V.sessions),
     **running.QUERIES,
     **building.QUERIES,
     **grounded.QUERIES,
+    **measured.QUERIES,
 }
 
-ORACLES: dict[str, str] = sql.oracles(FREQUENT, K, LEAST)
+ORACLES: dict[str, str] = sql.oracles(L.FUNCTION_WORDS, K, LEAST)
 ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(K, source), rules_sql.is_contents)
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
 ORACLES |= grounded.oracles()
+ORACLES |= measured.oracles(sql._V)
 ORACLES["p3_chapter_chunks"] = ORACLES["p3_chapter_sections"]
 ORACLES |= grounded.readers(f"WITH {sql._V}", ORACLES)

@@ -202,7 +202,6 @@ SELECT source, title, n FROM t QUALIFY row_number() OVER (PARTITION BY source OR
         "x5_slots": f"{sec} SELECT doc_id, count(*) AS sections, CAST(greatest({k.CANDIDATES}, least({k.CANDIDATES_MAX}, count(*) // {k.SECTIONS_A_SLOT})) AS INTEGER) AS slots FROM sec GROUP BY doc_id",
         "k4_softmax": _softmax(f"{sec}, {vec}, {feat}", k),
         "a19_regulated_by": f"{v} SELECT nr, doc_id, count(*) OVER (PARTITION BY nr) AS n FROM v WHERE ref IN ('E', 'T', 'A')",
-        "x14_examples": f"{v} SELECT nr, min(doc_id) AS doc_id FROM v WHERE ref = 'A' AND p > 0.4 GROUP BY nr ORDER BY nr LIMIT 3",
         "p19_renumbered": f"""{v}, s AS (SELECT doc_id, nr, klass, min(nr) OVER (PARTITION BY doc_id, klass) AS start FROM v)
 SELECT doc_id, nr, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY start) AS INTEGER) AS chapter, CAST(row_number() OVER (PARTITION BY doc_id, klass ORDER BY nr) AS INTEGER) AS position FROM s""",
         "liveness": f"""WITH l AS (SELECT user_id, max(ts) AS last, count(*) AS n FROM events GROUP BY user_id), x AS (SELECT user_id, n, (epoch_us((SELECT max(ts) FROM events)) - epoch_us(last)) // 1000000 AS silent_s FROM l)

@@ -60,6 +60,12 @@ COUNTING = ["schuss", "hübe"]
 NUMBER = "[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]+(?:[.,][0-9]+)?"
 MATERIAL = "1\\.[0-9]{4}"
 
+# Frequent German and English function words, for the share of real language in a text.
+FUNCTION_WORDS = """
+der die das und oder für von mit ist sind wird werden nicht auch nach bei zum zur den dem des ein eine einer einem sowie muss müssen kann können gemäß
+the and for with are shall must not from this that will have been which used
+""".split()
+
 # Capitals and words that say nothing about where a fact is from; generic titles of headings.
 EVERYDAY = "DIN ISO EN DE PDF CAD CAM CNC NC STL STEP IGES FTP SPC HRC PVD CVD DER DIE DAS UND MIT VON FÜR NICHT ODER ALS AUS BEI NUR".split()
 GENERIC_TITLES = (
