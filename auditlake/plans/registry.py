@@ -23,7 +23,7 @@ from ..operators import text as T
 from ..sources import package
 from ..sources import standins as I
 from ..sources.standins import table, verdicts
-from . import building, grounded, measured, rules_sql, running, sql
+from . import building, grounded, imported, measured, rules_sql, running, sql
 
 #: The vectors of the tables are spread more widely than those of a text model: their least likeness.
 LEAST = 0.25
@@ -241,6 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **building.QUERIES,
     **grounded.QUERIES,
     **measured.QUERIES,
+    **imported.QUERIES,
 }
 
 ORACLES: dict[str, str] = sql.oracles(L.FUNCTION_WORDS, K, LEAST)
@@ -248,5 +249,6 @@ ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
 ORACLES |= grounded.oracles()
 ORACLES |= measured.oracles(sql._V)
+ORACLES |= imported.oracles()
 ORACLES["p3_chapter_chunks"] = ORACLES["p3_chapter_sections"]
 ORACLES |= grounded.readers(f"WITH {sql._V}", ORACLES)

@@ -57,6 +57,40 @@ def docx_pages(content: bytes) -> list[str]:
     return ["\n".join(p) for p in pages]
 
 
+def docx_blocks(content: bytes) -> list[tuple[str, str | None, list[str] | None]]:
+    """(kind, text, cells) of the body of a word-processor file in order: paragraphs by their style's name, tables by row; a merged cell counts once."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
+        styles = ElementTree.fromstring(z.read("word/styles.xml")) if "word/styles.xml" in z.namelist() else ()
+    names = {s.get(f"{_W}styleId"): s.find(f"{_W}name").get(f"{_W}val") for s in styles if s.tag == f"{_W}style" and s.find(f"{_W}name") is not None}
+    out: list[tuple[str, str | None, list[str] | None]] = []
+    text_of = lambda node: "".join(t.text or "" for t in node.iter(f"{_W}t"))
+    for child in body if body is not None else ():
+        if child.tag == f"{_W}tbl":
+            out += [("table", None, ["\n".join(text_of(p) for p in c.iter(f"{_W}p")) for c in row.findall(f"{_W}tc")]) for row in child.findall(f"{_W}tr")]
+        elif child.tag == f"{_W}p":
+            style = child.find(f"{_W}pPr/{_W}pStyle")
+            key = style.get(f"{_W}val") if style is not None else ""
+            out.append(("heading" if names.get(key, key).lower().startswith(("heading", "überschrift")) else "line", text_of(child), None))
+    return out
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, i, kind, text, cells, error) of the word-processor files of folder(): one row a paragraph or a table's row. A file that can't be read is one row with the error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc, content in zip(b.doc_id, b.content):
+                try:
+                    rows += [(doc, i, *x, None) for i, x in enumerate(docx_blocks(bytes(content)))]
+                except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((doc, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["doc_id", "i", "kind", "text", "cells", "error"]).astype({"i": "Int64"})
+
+    return files.filter("suffix = 'docx'").select("doc_id", "content").mapInPandas(run, "doc_id string, i int, kind string, text string, cells array<string>, error string")
+
+
 def pages(files: DataFrame, readers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
     """(doc_id, page, text, error) of folder(): every page of every file by the reader of its suffix. A file that can't be read is one row with the error.
 

@@ -186,6 +186,26 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = e.select("doc_id", F.floor(F.col("i") / 25).alias("page"), F.struct("i", line.alias("t")).alias("l")).groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "\n").alias("t"))
     return pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "t"))), lambda x: x["t"]), "\f").alias("text"))
 
+
+#: Blocks of template documents: H heading, L line, T a table's row with its cells; {a}, {b}, {k} as in LINES.
+BLOCKS = [
+    "H{a} Werkzeug {k}", "H{a}.{b} Toleranzen der Form", "H{a}.{b}.1 Kernzüge und Schieber", "HZweck und Aufbau", "TPflicht|belegt in {b} von 18|A-1, B-13,3,C", "Tregel|Belegt in 2 von {k}|X-{k}, Y", "TWerkzeugtyp||Form {k}|Form {k}|rund",
+    "LStandardanforderungen:", "LDer Lieferant liefert {k} Teile.", "LAusprägungen im Korpus", "LProjektspezifisch festzulegen::", "L[Schwindmaß in %]  ·  [ Lage {k} ] und [ ]", "LAbgleichbegriffe: druck · bar;{k} •  ; mm", "L  ", "L  Härte {k} HRC [x] ", "TOptional|{k}",
+]
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, i, kind, text, cells): template documents, a block an event in order of time."""
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("doc_id").orderBy("ts", "event_id")) - 1
+    e = _events(spark, sf_dir).withColumn("i", i)
+    t = _filled(_one_of(BLOCKS, F.col("event_id") * 5 % 967), a=(F.floor(F.col("i") / 9) + 1).cast("int"), b=(F.col("i") % 9 + 1).cast("int"), k=F.col("k"))
+    e = e.withColumns({"t": F.substring(t, 2, 1_000_000), "mark": F.substring(t, 1, 1)})
+    kind = F.when(F.col("mark") == "H", "heading").when(F.col("mark") == "T", "table").otherwise("line")
+    return e.select("doc_id", "i", kind.alias("kind"), F.when(kind != "table", F.col("t")).alias("text"), F.when(kind == "table", F.split("t", "[|]")).alias("cells"))
+
+
 #: nr -> (title, more terms) of the catalogue of requirement texts; one entry has a title that is not the criterion's.
 DICTIONARY = {0: ("Auswerfer", ["ejector", "shots"]), 1: ("Kosten und Preise", ["cost"]), 2: ("Pneumatik", ["air"]), 10: ("Toleranzen", ["tolerance"]), 66: ("Toleranzen", ["fit"])}
 

@@ -72,3 +72,15 @@ GENERIC_TITLES = (
     "allgemein allgemeines anhang anhänge anlage anlagen sonstiges sonstige inhalt inhaltsverzeichnis bemerkung bemerkungen hinweis hinweise tabelle abbildung "
     "general annex appendix others remarks vorwort einleitung introduction änderungen änderungsindex verteiler"
 ).split()
+
+# How a template document is built: numbered and deeper headings, classes, captions of blocks, lists. Blanks include the one that doesn't break.
+BLANK = "[\\s\u00a0]"
+NUMBERED = "^([0-9]+(?:\\.[0-9]+)?)[\\s\u00a0]+([^\\s\u00a0].*)$"
+DEEPER = "^[0-9]+(\\.[0-9]+){2,}\\.?[\\s\u00a0]+[^\\s\u00a0]"
+CLASSES = ("Pflicht", "Regel", "Optional")
+FOUND_IN = "belegt[\\s\u00a0]+in[\\s\u00a0]+([0-9]+)[\\s\u00a0]+von[\\s\u00a0]+([0-9]+)"
+CAPTIONS = {"required": "standardanforderungen", "variants": "ausprägungen im korpus", "placeholders": "projektspezifisch festzulegen"}
+TERMS_PREFIX = "abgleichbegriffe:"
+DOCUMENT_LIST = ",(?=[\\s\u00a0A-Za-zÄÖÜ])|\n"
+TERM_LIST = "[·•;]"
+BRACKETED = "\\[([^\\]]+)\\]"
