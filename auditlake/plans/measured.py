@@ -12,6 +12,8 @@ from .. import words as L
 from ..operators import decide as D
 from ..operators import evaluate as E
 from ..operators import evidence as V
+from ..operators import prompts as Q
+from ..operators import report as P
 from ..operators import search as S
 from ..sources import standins as I
 from .rules_sql import _E, _reasoned, q
@@ -57,6 +59,22 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.examples(I.reasoned(spark, sf_dir), I.table(spark, sf_dir, "labels").filter("toxic = 1"))
 
 
+def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples of each criterion with the document's first passage on the example's page and the reason."""
+    v, p = I.reasoned(spark, sf_dir), I.passages(spark, sf_dir)
+    text = p.groupBy("doc_id", "page").agg(F.min_by("text", F.struct("nr", "rank")).alias("text"))
+    return P.reference_examples(v, p).join(text, ["doc_id", "page"]).join(v.select("doc_id", "nr", "reason"), ["doc_id", "nr"]).select("nr", "place", "status", "text", "reason")
+
+
+#: Another subject than the measured one.
+CABINETS = Q.Subject("a switch cabinet", "switch cabinets", None, False)
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each verdict, for another subject, the shared part first."""
+    return Q.prompts(I.verdicts(spark, sf_dir), I.criteria(spark, sf_dir), I.passages(spark, sf_dir), shown(spark, sf_dir), Q.rules(CABINETS, stricter=True, lists=True), rules_first=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "a5_kpi_deltas": lambda spark, sf_dir: E.kpi_deltas(I.verdicts(spark, sf_dir)),
     "a5_flagging": lambda spark, sf_dir: E.flagging(I.verdicts(spark, sf_dir)),
@@ -64,12 +82,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "k3_ranker_features": ranker_features,
     "k3_train_ranker": trained_ranker,
     "k6_ranked": ranked,
+    "m11_example_blocks": lambda spark, sf_dir: Q.example_blocks(shown(spark, sf_dir)),
+    "p21_passage_blocks": lambda spark, sf_dir: Q.passage_blocks(I.passages(spark, sf_dir)),
+    "p22_prompts": prompts,
     "v5_set_gap": lambda spark, sf_dir: E.set_gap(I.criteria(spark, sf_dir), I.verdicts(spark, sf_dir).filter("ref = 'T' and p > 0.9")),
     "x14_examples": examples,
 }
 
 
-def oracles(v: str) -> dict[str, str]:
+def oracles(v: str, reference_examples: str) -> dict[str, str]:
     v = f"WITH {v}"
     rs = _reasoned(v)
     rate = lambda a, of: f"CAST(round(CASE WHEN {of} <> 0 THEN round(({a})::DOUBLE / {of}, 6) END * 1000000) AS BIGINT)"
@@ -99,7 +120,17 @@ SELECT doc_id, nr, CASE WHEN ref = 'A' THEN 'A' ELSE '-' END AS ref, round(CASE
 s AS (SELECT nr, round(count(*) FILTER (ref = 'A')::DOUBLE / count(*), 4) AS share_a FROM v WHERE ref IS NOT NULL GROUP BY nr)
 SELECT doc_id, nr, round(1 / (1 + exp(-greatest(-50.0, least(50.0, {z})))), 4) AS rank_value FROM pv JOIN ft USING (doc_id, nr) JOIN fl USING (nr) JOIN (SELECT fl.nr, coalesce(share_a, 0.0) AS share_a FROM fl LEFT JOIN s USING (nr)) sh USING (nr)
 WHERE status IN ('E', 'T') AND doc_id NOT IN (SELECT doc_id FROM pv WHERE p IS NOT NULL)"""
+    flat = lambda t: f"trim(regexp_replace(regexp_replace({t}, '(?i)[(]?\\bLHD-[0-9,]+[)]?', '', 'g'), '\\s+', ' ', 'g'), ' ')"
+    short = lambda t, n: f"CASE WHEN length({flat(t)}) <= {n} THEN {flat(t)} ELSE regexp_replace(left({flat(t)}, {n}), ' [^ ]*$', '') || ' …' END"
+    blocks = f"""{rs}, x AS ({reference_examples}), t AS (SELECT doc_id, page, arg_min(text, nr * 100000 + rank) AS text FROM passages GROUP BY ALL),
+ex AS (SELECT nr, string_agg('Example ' || place || ', status ' || x.status || chr(10) || 'Passage: ' || {short('t.text', 320)} || chr(10) || 'Why: ' || {short('rs.reason', 220)}, chr(10) ORDER BY place) AS block FROM x JOIN t USING (doc_id, page) JOIN rs USING (doc_id, nr) GROUP BY nr),
+pb AS (SELECT doc_id, nr, string_agg('[page ' || page || ', relevance ' || CAST(round(score * 100) AS INTEGER) || ' %]' || chr(10) || text, chr(10) || '---' || chr(10) ORDER BY rank) AS block FROM passages WHERE rank <= {K.CANDIDATES_MAX} GROUP BY ALL)"""
+    ruled = "Step 1: does a passage rule on the point for a switch cabinet? If none of the several documents' wording fits, the status is N.|Step 2: does the document contradict the standard or ask for more than it? Then A.|A prescribed make makes the point concrete and is E.|An item of a list rules on its point, an entry of a list of contents never does.|Answer with {\"status\": \"E\", \"reason\": \"...\", \"evidence\": \"S3\"}."
     return {
+        "m11_example_blocks": f"{blocks} SELECT nr, block FROM ex",
+        "p21_passage_blocks": f"{blocks} SELECT doc_id, nr, block FROM pb",
+        "p22_prompts": f"""{blocks} SELECT v.doc_id, v.nr, concat_ws(chr(10) || chr(10), replace({q(ruled)}, '|', chr(10)), 'Criterion ' || v.nr || ' ' || title || ' [' || crit.klass || ']', coalesce(pb.block, '(no passages)'), ex.block) AS prompt
+FROM v JOIN crit ON crit.nr = v.nr LEFT JOIN pb ON pb.doc_id = v.doc_id AND pb.nr = v.nr LEFT JOIN ex ON ex.nr = v.nr""",
         "a5_kpi_deltas": deltas,
         "a5_flagging": f"""{v} SELECT count(*) FILTER (ref = 'A') AS ref_a, count(*) FILTER (ref = 'A' AND status = 'A') AS found_a, count(*) FILTER (flagged) AS marked, count(*) FILTER (flagged AND ref = 'A') AS marked_a,
 coalesce(round(count(*) FILTER (flagged)::DOUBLE / nullif(count(DISTINCT doc_id), 0), 6), 0.0) AS per_document FROM ms""",

@@ -248,7 +248,7 @@ ORACLES: dict[str, str] = sql.oracles(L.FUNCTION_WORDS, K, LEAST)
 ORACLES |= running.oracles(ORACLES["s11_archive"], lambda source: sql._sections(K, source), rules_sql.is_contents)
 ORACLES |= building.oracles(ORACLES["p2_paged_sections"], ORACLES["p5_headings"])
 ORACLES |= grounded.oracles()
-ORACLES |= measured.oracles(sql._V)
+ORACLES |= measured.oracles(sql._V, ORACLES["x13_reference_examples"])
 ORACLES |= imported.oracles()
 ORACLES["p3_chapter_chunks"] = ORACLES["p3_chapter_sections"]
 ORACLES |= grounded.readers(f"WITH {sql._V}", ORACLES)

@@ -84,3 +84,6 @@ TERMS_PREFIX = "abgleichbegriffe:"
 DOCUMENT_LIST = ",(?=[\\s\u00a0A-Za-zÄÖÜ])|\n"
 TERM_LIST = "[·•;]"
 BRACKETED = "\\[([^\\]]+)\\]"
+
+# Fixed value: ids of documents that examples must not show.
+DOCUMENT_MARK = "(?i)\\(?\\bLHD-[0-9,]+\\)?"
