@@ -1,5 +1,7 @@
 """Rules on requirement texts, decisions and outlines by hand-made rows."""
 
+import compare
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from auditlake.operators import rules as R
 from auditlake.operators import search as S
 from auditlake.operators import template as M
 from auditlake.operators import topics as TP
+from auditlake.plans import registry
 from auditlake.sources import files
 
 
@@ -88,6 +91,17 @@ def test_reasons(spark):
     assert over(spark, ["ACME und acme ACME WKZ42, 2768 DIN 1.2312", None], R.facts_of) == [["ACME", "WKZ42", "2768", "1.2312"], []]
 
 
+def test_facts_share_no_dot_or_comma(spark, tmp_path):
+    """Two facts with one dot or comma between them, held against the SQL of the same texts."""
+    texts = ["THEANT,IBDA!! X.ABC LA!! QUE!! AB", "ABC.DEF.GHI 1.2312,2768\n4711", "1.000.ABC-XYZ DIN ABC", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert over(spark, texts, R.facts_of) == [["THEANT", "ABC", "QUE"], ["ABC", "GHI", "1.2312,2768", "4711"], ["1.000", "XYZ", "ABC"], [], []]
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert compare.tidy(registry.QUERIES["p15_hard_facts"](spark, str(tmp_path)).toPandas()) == compare.tidy(con.execute(registry.ORACLES["p15_hard_facts"]).df())
+
+
 def test_headings(spark):
     text = "1 Allgemeines\n1.1 Geltung\n1 Aufzählung eins\n1.4 Zeichnungen\n3 Werkzeug\n3.1 Aufbau ..... 7\n9 Zu weit weg\n2 Zurück geht nicht\n4.1 Kein Kapitel davor\n4 Abnahme"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "7 Zu hoch")], "doc_id int, text string")
