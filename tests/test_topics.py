@@ -57,6 +57,18 @@ def test_a_component_beyond_a_task_says_so(spark, monkeypatch):
         P.topic_groups(df, building.saving(spark))
 
 
+def test_nearest_chapter_in_cells(spark, monkeypatch):
+    """Both sides in several blocks and products of a few rows at once, with equal products: the same chapters as over all at once."""
+    v = np.random.default_rng(3).integers(-2, 3, size=(90, 3)).astype(float)
+    rows = [(f"t{i:03d}", v[i].tolist(), f"c{i}" if i % 3 else None) for i in range(90)]
+    df = spark.createDataFrame(rows, "topic string, v array<double>, chapter string")
+    known = [i for i in range(90) if i % 3]
+    want = {f"t{i:03d}": f"c{i if i % 3 else min(known, key=lambda k: (-(v[i] @ v[k]), k))}" for i in range(90)}
+    monkeypatch.setattr(P, "SIDE", 7)
+    monkeypatch.setattr(P, "AT_ONCE", 2)
+    assert {r.topic: r.chapter for r in P.nearest_chapters(df, 2).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     names = [f"n{i:03d}" for i in range(64)]
     random.Random(1).shuffle(names)
