@@ -57,6 +57,19 @@ def test_a_component_beyond_a_task_says_so(spark, monkeypatch):
         P.topic_groups(df, building.saving(spark))
 
 
+@pytest.mark.parametrize("n,most,digits", [(70, 0.35, 1), (70, 1.2, 0), (40, 2.5, 3)])
+def test_linkage_in_rounds(spark, monkeypatch, n, most, digits):
+    """Components beyond a task's matrix, with many equal distances: the same groups as one join at a time."""
+    monkeypatch.setattr(P, "IN_TASK", 3)
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "AT_ONCE", 5)
+    v = np.random.default_rng(n).normal(size=(n, 4)).round(digits)
+    titles = [f"t{i:03d}" for i in range(n)]
+    df = spark.createDataFrame(list(zip(titles, v.tolist())), "topic string, v array<double>")
+    got = {r.topic: r.grp for r in P.topic_groups(df.repartition(3), building.saving(spark), most).collect()}
+    assert got == {titles[i]: titles[g[0]] for g in plain_linkage(v, most) for i in g}
+
+
 def test_nearest_chapter_in_cells(spark, monkeypatch):
     """Both sides in several blocks and products of a few rows at once, with equal products: the same chapters as over all at once."""
     v = np.random.default_rng(3).integers(-2, 3, size=(90, 3)).astype(float)
