@@ -102,6 +102,14 @@ def test_facts_share_no_dot_or_comma(spark, tmp_path):
     assert compare.tidy(registry.QUERIES["p15_hard_facts"](spark, str(tmp_path)).toPandas()) == compare.tidy(con.execute(registry.ORACLES["p15_hard_facts"]).df())
 
 
+def test_texts_without_a_unit_have_no_values(spark):
+    """No unit is looked for where no number has one; blanks in a unit that fall together in a sentence still count."""
+    assert over(spark, ["Blatt 5 mmx", "12 Teile", None, "5 bar"], R.values)[:3] == [None] * 3
+    p = spark.createDataFrame([(1, 0, 1, 7, "Die Form hat 90 °  C im Betrieb."), (1, 1, 1, 8, "Der Druck liegt bei 5\n bar")], "doc_id int, nr int, rank int, page int, text string")
+    r = spark.createDataFrame([(0, 1, "required", "10 °C"), (1, 1, "required", "9 bar")], "nr int, pos int, field string, text string")
+    assert sorted(map(tuple, R.value_signs(p, r).select("nr", "found", "page").collect())) == [(0, "90 °c", 7), (1, "5 bar", 8)]
+
+
 def test_headings(spark):
     text = "1 Allgemeines\n1.1 Geltung\n1 Aufzählung eins\n1.4 Zeichnungen\n3 Werkzeug\n3.1 Aufbau ..... 7\n9 Zu weit weg\n2 Zurück geht nicht\n4.1 Kein Kapitel davor\n4 Abnahme"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "7 Zu hoch")], "doc_id int, text string")
