@@ -97,3 +97,12 @@ def test_mcnemar(spark):
         v = spark.createDataFrame(one(1, 0, only_a) + one(0, 1, only_b) + one(1, 1, 3) + [(None, "E", "E")], "ref string, status string, other string")
         r = E.mcnemar(v).first()
         assert (r.p, r.p_exact, r.significant, r.both) == (p, exact, significant, 3)
+
+
+def test_what_grows_is_not_broadcast(spark):
+    """Small tables are, unless the plan says otherwise: on a small driver a few hundred thousand passages were too many."""
+    s = spark.createDataFrame([(1, n, 1, 7, f"Der Lieferant trägt die Kosten der Nacharbeit {n}00") for n in range(8)], "doc_id int, nr int, rank int, page int, text string")
+    a = s.selectExpr("doc_id", "nr", "text AS zitat", "'ja' AS verbindlich", "'' AS abweichung")
+    got = G.rechecked(a, s)
+    assert {r.status for r in got.collect()} == {"E"}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
