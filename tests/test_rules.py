@@ -278,3 +278,26 @@ def test_orientation(spark):
 def test_documents_without_damage(spark):
     v = spark.createDataFrame([], "doc_id int, nr int, klass string, status string, before string, ref string, other string, p double")
     assert E.damage_classes(v).count() == 0 and E.sensitivity(v).count() == 0
+
+
+def test_first_object_with_and_without_inner_ones(spark, monkeypatch):
+    """The match and the way by character give the same; the match does not need the latter."""
+    import random
+
+    r = random.Random(5)
+    texts = ["".join(r.choices('{}"\\a\n[]', k=r.randint(0, 14))) for _ in range(600)] + ['{"a": "' + "x" * 3000 + '"} z', '{' + '"\\n",' * 900 + "}"]
+    for opener in "{[":
+        both = over(spark, texts, lambda c: R.first_object(c, opener))
+        monkeypatch.setattr(R, "FLAT_CHARS", 0)
+        assert over(spark, texts, lambda c: R.first_object(c, opener)) == both and sum(x is not None for x in both) > 20
+        monkeypatch.undo()
+
+
+def test_a_model_is_asked_once(spark):
+    from auditlake.operators import provider as A
+
+    p = spark.createDataFrame([(1, 1, 1, 7, "text")], "doc_id int, nr int, rank int, page int, text string")
+    prompts = spark.createDataFrame([(1, 1, "x"), (1, 2, None)], "doc_id int, nr int, prompt string")
+    got = A.verdicts(prompts, p, A.ByLength())
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert {(r.nr, r.cause) for r in got.collect()} == {(1, ""), (2, "no candidate")}
