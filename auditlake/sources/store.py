@@ -33,6 +33,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """The rows from a table that they are written to once, for what reads them many times, as a training does."""
+    folder = scratch(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
 class Store:
     """A table (key string, more columns) in a folder."""
 

@@ -35,3 +35,9 @@ def test_query_equals_sql(spark, con, name):
     ours, theirs = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLES[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert compare.tidy(ours) == compare.tidy(theirs)
+
+
+def test_training_rows_are_made_once(spark):
+    """The training goes over its rows many times; what is made for it is read and not made again."""
+    plan = registry.QUERIES["k3_train_ranker"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
