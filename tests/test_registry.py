@@ -37,7 +37,8 @@ def test_query_equals_sql(spark, con, name):
     assert compare.tidy(ours) == compare.tidy(theirs)
 
 
-def test_training_rows_are_made_once(spark):
+@pytest.mark.parametrize("name", ["k2_train_decider", "k3_train_ranker"])
+def test_training_rows_are_made_once(spark, name):
     """The training goes over its rows many times; what is made for it is read and not made again."""
-    plan = registry.QUERIES["k3_train_ranker"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
