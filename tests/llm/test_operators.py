@@ -613,3 +613,19 @@ def test_components(spark):
     assert len({got[n] for n in names[:30]}) == 1 and got[names[30]] == got[names[40]] and len({got[names[i]] for i in (50, 51, 52)}) == 1
     assert len(set(got.values())) == 3
     assert bagminhash.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_suffix_dedup_groups_equal_spans_of_a_block():
+    """A passage of all texts of a block is one row for each of its spans, with all places; nothing is lost."""
+    r = np.random.default_rng(5)
+    words = lambda n: " ".join("".join(map(chr, r.integers(97, 123, 7))) for _ in range(n))
+    passage = words(120)
+    texts = [f"{words(60)} {passage} {words(60)}" for _ in range(50)] + ["", passage]
+    b = pa.RecordBatch.from_arrays([pa.array(range(52), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    one = pa.Table.from_batches(suffix_dedup._spans(400, 100)(iter([b]))).to_pylist()
+    rows = pa.Table.from_batches(suffix_dedup._grouped(suffix_dedup._spans(400, 100))(iter([b]))).to_pylist()
+    assert len(rows) == len({x["h"] for x in one}) < len(one)
+    places = [(x["h"], p["doc"], p["low"], p["high"]) for x in rows for p in [x, *x["more"]]]
+    assert sorted(places) == sorted((x["h"], x["doc"], x["low"], x["high"]) for x in one)
+    assert max(len(x["more"]) for x in rows) >= 49
+    assert all([(p["doc"], p["low"]) for p in [x, *x["more"]]] == sorted((p["doc"], p["low"]) for p in [x, *x["more"]]) for x in rows)
