@@ -106,3 +106,14 @@ def test_what_grows_is_not_broadcast(spark):
     got = G.rechecked(a, s)
     assert {r.status for r in got.collect()} == {"E"}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_quotations_move_no_words(spark):
+    """Sections that are dealt by document stay there: no text, no word and no pair is shuffled but the quotations with theirs."""
+    s = spark.range(4000).select((F.col("id") % 7).alias("d"), F.col("id").alias("i"), F.concat(F.lit("Der Lieferant liefert Ersatzteile Nummer "), F.col("id").cast("string")).alias("text")).repartition("d")
+    q = s.filter("i < 700").select("d", F.col("text").alias("quote"))
+    found = G.quoted(q, s, ["d"], ["i"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    before = s._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert plan.count("Exchange hashpartitioning") == 2 * before, plan
+    assert found.count() == 700 and found.filter("share = 1").count() == 700
