@@ -142,3 +142,18 @@ def test_pages_are_read_once(spark, tmp_path):
         assert sorted(((r.doc_id, r.page, r.text) for r in got), key=str) == sorted(want, key=str)
         assert [r.error.split(":")[0] for r in got if r.error] == ["BadZipFile"]
         assert reads.value == 1
+
+
+def test_liveness_of_many_runs_asks_for_no_state_one_by_one(spark, tmp_path):
+    """State comes with the rows; waiting events are kept for the next batch, and ends at the very watermark count."""
+    events = [(u, t) for u in range(300) for t in (u % 50, 100 + u % 7, 100 + u % 7, 400)] + [(300, 0), (301, 220), (302, 340), (302, 280), (303, 399), (304, 400)]
+    events = [(u, t + 1000) for u, t in events]
+    spark.createDataFrame(events, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    with heartbeat.timers(spark):
+        changes = heartbeat.state_changes(stream, "1000 seconds")
+        assert "TransformWithState" not in changes._jdf.queryExecution().analyzed().toString()
+        q = heartbeat.state_changes(stream, "0 seconds", 60, 180).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    got = sorted((x.user_id, int(x.s), x.state) for x in spark.read.parquet(str(tmp_path / "out")).select("user_id", F.unix_seconds("at").alias("s"), "state").collect())
+    assert got == lives(events, 1400) and (301, 1400, "dead") in got and (302, 1400, "dead") in got
