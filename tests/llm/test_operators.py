@@ -629,3 +629,22 @@ def test_suffix_dedup_groups_equal_spans_of_a_block():
     assert sorted(places) == sorted((x["h"], x["doc"], x["low"], x["high"]) for x in one)
     assert max(len(x["more"]) for x in rows) >= 49
     assert all([(p["doc"], p["low"]) for p in [x, *x["more"]]] == sorted((p["doc"], p["low"]) for p in [x, *x["more"]]) for x in rows)
+
+
+def test_suffix_dedup_groups_equal_windows_of_a_hot_bucket():
+    """A window of all runs of a block is one row with all its places; neighbours come back as one run."""
+    r = np.random.default_rng(6)
+    text = lambda n: r.integers(97, 123, n).astype(np.uint8).tobytes()
+    core, docs = text(410), [bytes([i]) * 16 for i in r.permutation(60)]
+    rows = [(d, 5, 25, 30, i % 4 == 0, b"c", 60, text(4) + bytes([i]) + core + bytes([i]) + text(4)) for i, d in enumerate(docs)]
+    b = pa.RecordBatch.from_pylist([dict(zip(suffix_dedup._CUT_NAMES, x)) for x in rows], pa.schema([("doc", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("anchor", pa.int32()), ("whole", pa.bool_()), ("core", pa.binary()), ("k", pa.int64()), ("bytes", pa.binary())]))
+    got = pa.Table.from_batches(suffix_dedup._window_digests(400)(iter([b])))
+    shared = [x for x in got.to_pylist() if x["n"] > 1]
+    assert len(shared) == 11 and got.num_rows == 11 + 60 * 10
+    assert sum(x["n"] for x in got.to_pylist()) == 60 * 21
+    for x in shared:
+        assert x["n"] == 60 and x["at"]["doc"] == min(docs) and x["other"]["doc"] == max(docs)
+        assert [p["doc"] for p in x["places"]] == sorted(d for i, d in enumerate(docs) if i % 4)
+    part = pa.RecordBatch.from_pylist([{"places": x["places"]} for x in shared], pa.schema([got.schema.field("places")]))
+    runs = pa.Table.from_batches(suffix_dedup._merged(iter([part]))).to_pylist()
+    assert sorted((x["doc"], x["low"], x["high"]) for x in runs) == sorted((d, 10, 20) for i, d in enumerate(docs) if i % 4)
