@@ -301,3 +301,21 @@ def test_a_model_is_asked_once(spark):
     got = A.verdicts(prompts, p, A.ByLength())
     assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
     assert {(r.nr, r.cause) for r in got.collect()} == {(1, ""), (2, "no candidate")}
+
+
+def test_contents_gates(spark):
+    """A title holds one of the words, a row the gap: texts without both are told apart by them alone, all others by the whole rule."""
+    import itertools
+    import re
+
+    from auditlake import words as L
+
+    for title in L.CONTENTS_TITLE.replace("s?", "").split("|") + ["inhaltsverzeichnis"]:
+        assert re.fullmatch(L.CONTENTS_TITLE, title) and re.search(L.CONTENTS_WORDS, title)
+    rows = [f"{a}1.2{b}Text{gap}{c}12 " for a, b, gap, c in itertools.product(["", " \t"], [" ", ". ", " "], ["...", "......", "   ", "\t", " .. ", " "], ["", " ", "\r"])]
+    for row in rows:
+        if re.search(L.CONTENTS_ROW, row, re.ASCII):
+            assert re.search(L.CONTENTS_GAP, row, re.ASCII), row
+    plain = [f"Satz {i} über die Form, {i} bar und 1.2343." for i in range(20)]
+    titles = ["Inhalt", "INHALTSVERZEICHNIS", "im Inhaltsverzeichnis", "Table of Contents", "Revisionshistorie", "Abkürzungsverzeichnis", "inhaltlich", "der Inhalt"]
+    assert over(spark, plain + titles + ["1 A ... 3", "1 A ... 3\nx", "1 A ... 3\nx\ny", None], R.is_contents) == [False] * 20 + [True, True, False, True, True, True, False, False, True, True, False, False]
