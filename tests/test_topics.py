@@ -70,6 +70,39 @@ def test_linkage_in_rounds(spark, monkeypatch, n, most, digits):
     assert got == {titles[i]: titles[g[0]] for g in plain_linkage(v, most) for i in g}
 
 
+@pytest.mark.parametrize("edges,dense", [(1 << 21, 64), (4, 1 << 40), (1 << 21, 0)])
+def test_linkage_in_levels(spark, monkeypatch, edges, dense):
+    """Many titles near each other: few tables however many joins, where one task links the pairs; the same groups where rounds of jobs do, and where members meet in matrices or one by one."""
+    for name, value in {"IN_TASK": 3, "BLOCK": 64, "AT_ONCE": 7, "EDGES_IN_TASK": edges, "DENSE": dense, "ALONE": 9, "PRODUCTS": 50, "LOOKED": 20}.items():
+        monkeypatch.setattr(P, name, value, raising=False)
+    v = np.abs(np.random.default_rng(8).normal(size=(150, 6))).round(1)
+    v[:12] = v[0]
+    titles = [f"t{i:03d}" for i in range(len(v))]
+    df = spark.createDataFrame(list(zip(titles, v.tolist())), "topic string, v array<double>")
+    write, written = building.saving(spark), []
+
+    def saved(rows):
+        written.append(rows)
+        return write(rows)
+
+    got = {r.topic: r.grp for r in P.topic_groups(df.repartition(3), saved).collect()}
+    want = {titles[i]: titles[g[0]] for g in plain_linkage(v, 1 - P.TITLE_LIKENESS) for i in g}
+    assert got == want
+    assert edges < 150 or len(written) <= 30
+
+
+def test_farthest_members_of_groups(monkeypatch):
+    """Least products by layers of members, in pieces that cut groups: as of all members."""
+    r = np.random.default_rng(2)
+    u, size = r.normal(size=(40, 5)).astype(np.float32), np.array([17, 9, 9, 3, 1, 1])
+    first = np.cumsum(size) - size
+    layers = P._layers(size, first)
+    want = [[(u[a : a + m] @ u[b : b + n].T).min() for b, n in zip(first, size)] for a, m in zip(first, size)]
+    for at_once in (1, 4, 9, 100):
+        monkeypatch.setattr(P, "AT_ONCE", at_once)
+        assert np.allclose(P._least(u, first, u[np.concatenate(layers)], [len(x) for x in layers]), want, atol=1e-5)
+
+
 def test_nearest_chapter_in_cells(spark, monkeypatch):
     """Both sides in several blocks and products of a few rows at once, with equal products: the same chapters as over all at once."""
     v = np.random.default_rng(3).integers(-2, 3, size=(90, 3)).astype(float)
